@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import langid, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language_id": langid.op4_language_id,
+    "op8_quality_qda": quality.op8_quality_qda,
     "op9_packing": packing.op9_packing,
 }
 
