@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, quality
+from . import chat, langid, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": warc.op1_warc,
+    "op2_chat": chat.op2_chat,
     "op4_language_id": langid.op4_language_id,
     "op8_quality_qda": quality.op8_quality_qda,
     "op9_packing": packing.op9_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.OP1_SQL,
+}
