@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, packing, quality, warc
+from . import chat, langid, minhash, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op2_chat": chat.op2_chat,
+    "op3_minhash": minhash.op3_minhash,
     "op4_language_id": langid.op4_language_id,
     "op8_quality_qda": quality.op8_quality_qda,
     "op9_packing": packing.op9_packing,
@@ -18,4 +19,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.OP1_SQL,
+    "op3_minhash": minhash.OP3_SQL,
 }
