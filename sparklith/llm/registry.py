@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, minhash, packing, quality, warc
+from . import chat, decontaminate, langid, minhash, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": langid.op4_language_id,
     "op8_quality_qda": quality.op8_quality_qda,
     "op9_packing": packing.op9_packing,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
