@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontaminate, langid, minhash, packing, quality, substring, warc
+from . import ann, chat, decontaminate, langid, lm, minhash, packing, quality, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op2_chat": chat.op2_chat,
     "op3_minhash": minhash.op3_minhash,
     "op4_language_id": langid.op4_language_id,
+    "op5_kneser_ney": lm.op5_kneser_ney,
     "op6_ann": ann.op6_ann,
     "op7_substring": substring.op7_substring,
     "op8_quality_qda": quality.op8_quality_qda,
