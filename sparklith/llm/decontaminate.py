@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,43 +130,61 @@ class Items:
         return found
 
 
+class _Finder:
+    """Where the texts of an Arrow column hold items of one block."""
+
+    def __init__(self, items: Items):
+        self.items = items
+        self.seen = np.zeros(1 << 22, bool)  # a first look: the upper bits of the pieces' hashes
+        for hashes, _, _ in items.pieces.values():
+            self.seen[(hashes >> U64(42)).astype(np.int64)] = True
+
+    def rows(self, column: pa.Array) -> Iterator[tuple[int, list[tuple]]]:
+        """(row, its hits) of each row that has any."""
+        for r0, _, data, offsets in blocks(column):
+            raw = data.tobytes()
+            texts = [plain(raw[a:b].decode()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            for s0, _, folded, bounds in blocks(pa.array(texts, pa.large_string())):
+                words = Words(folded, bounds)
+                doc = words.document()
+                candidates: dict[int, list[tuple[int, int]]] = {}
+                for n, (hashes, item, offset) in self.items.pieces.items():
+                    at, h = words.windows(n)
+                    maybe = np.flatnonzero(self.seen[(h >> U64(42)).astype(np.int64)])
+                    lo, hi = np.searchsorted(hashes, h[maybe], "left"), np.searchsorted(hashes, h[maybe], "right")
+                    for j in np.flatnonzero(hi > lo).tolist():
+                        w = int(at[maybe[j]])
+                        d = int(doc[w])
+                        for x in range(lo[j], hi[j]):
+                            candidates.setdefault(d, []).append((int(item[x]), w - int(words.bounds[d]) - int(offset[x])))
+                for d, pairs in sorted(candidates.items()):
+                    if hits := self.items.hits(words.hash[words.bounds[d] : words.bounds[d + 1]], pairs):
+                        yield r0 + s0 + d, hits
+
+
 def _scan(docs: DataFrame, items: Items) -> DataFrame:
     """All hits of one block of items in ``docs`` (doc_id, text)."""
-    table = np.zeros(1 << 22, bool)
-    for n, (hashes, _, _) in items.pieces.items():
-        table[(hashes >> U64(42)).astype(np.int64)] = True
-    filters = np.packbits(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(filters).astype(bool)
-        names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
+        finder, names = _Finder(items), [x.split(" ")[0] for x in SCHEMA.split(", ")]
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            rows: list[tuple] = []
-            for r0, r1, data, offsets in blocks(batch.column(1)):
-                raw = data.tobytes()
-                texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                for s0, s1, folded, bounds in blocks(pa.array([plain(t) for t in texts], pa.large_string())):
-                    words = Words(folded, bounds)
-                    doc = words.document()
-                    candidates: dict[int, list[tuple[int, int]]] = {}
-                    for n, (hashes, item, offset) in items.pieces.items():
-                        at, h = words.windows(n)
-                        maybe = np.flatnonzero(seen[(h >> U64(42)).astype(np.int64)])
-                        lo, hi = np.searchsorted(hashes, h[maybe], "left"), np.searchsorted(hashes, h[maybe], "right")
-                        for j in np.flatnonzero(hi > lo).tolist():
-                            w = int(at[maybe[j]])
-                            d = int(doc[w])
-                            for x in range(lo[j], hi[j]):
-                                candidates.setdefault(d, []).append((int(item[x]), w - int(words.bounds[d]) - int(offset[x])))
-                    for d, pairs in candidates.items():
-                        own = words.hash[words.bounds[d] : words.bounds[d + 1]]
-                        rows += [(ids[r0 + s0 + d], items.ids[i], dist, a, b, len(items.words[i])) for i, dist, a, b in items.hits(own, pairs)]
+            rows = [(ids[r], items.ids[i], dist, a, b, len(items.words[i])) for r, hits in finder.rows(batch.column(1)) for i, dist, a, b in hits]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names)
 
     return docs.mapInArrow(run, SCHEMA)
 
 
+def _passes(benchmark: DataFrame, budget: float, block_words: int) -> Iterator[Items]:
+    """The items in blocks of bounded size."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    total = items.agg(F.sum(F.octet_length("text") / 2)).first()[0] or 0
+    passes = max(1, -(-int(total) // block_words))
+    for k in range(passes):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
+        yield Items.of([r[0] for r in part], [r[1] for r in part], budget)
+
+
 def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id, item_id, distance, start_word, end_word, item_words``: each place in a document that is within an item's edit budget.
 
@@ -176,13 +195,9 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, budget:
     """
     ship_code(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text") / 2)).first()[0] or 0
-    passes = max(1, -(-int(total) // block_words))
     out = None
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        found = _scan(texts, Items.of([r[0] for r in part], [r[1] for r in part], budget))
+    for items in _passes(benchmark, budget, block_words):
+        found = _scan(texts, items)
         out = found if out is None else out.unionAll(found)
     return out
 
@@ -192,15 +207,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def without_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, all columns kept. Rows with a null doc_id are judged by their own text."""
-    found = matches(spark, docs, benchmark, budget).select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(found, "doc_id", "left_anti").select(docs.columns)
-    return known.unionAll(_null_ids(spark, docs, benchmark, budget))
-
-
-def _null_ids(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, budget: float) -> DataFrame:
-    """Rows without an id are told apart by a hash of their text."""
-    keyed = docs.where("doc_id is null").withColumn("_key", F.xxhash64("text"))
-    found = matches(spark, keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, budget).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(found, "_key", "left_anti").select(docs.columns)
+def without_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, all columns kept. Each row is judged where it is; none is shuffled."""
+    ship_code(spark)
+    for items in _passes(benchmark, budget, block_words):
+        docs = docs.where(_clean(items)(F.col("text").cast("string")))
+    return docs
+
+
+def _clean(items: Items):  # noqa: ANN202
+    @F.pandas_udf("boolean")
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder = _Finder(items)
+        for text in parts:
+            out = np.ones(len(text), bool)
+            for row, _ in finder.rows(pa.array(text, pa.string(), from_pandas=True)):
+                out[row] = False
+            yield pd.Series(out)
+
+    return clean

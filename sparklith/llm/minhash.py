@@ -76,20 +76,21 @@ def _bytes(rows: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, n: int, lower: bool = True) -> DataFrame:
-    """``doc_id, n_shingles, node, keys`` for each row; an empty set has a null node and no keys."""
+    """``doc_id, h, n_shingles, node, keys`` for each row, h a hash of its text; an empty set has a null node and no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, offsets in blocks(batch.column(1)):
+            for row, end, data, offsets in blocks(batch.column(2)):
                 x, bounds = shingle_sets(Words(data, offsets, lower), n)
                 sizes = np.diff(bounds)
                 keys = band_keys(sketches(x, bounds)).astype(np.int64)
                 mask = sizes == 0
                 node = pa.array([None if m else r.tobytes() for m, r in zip(mask, nodes(x, bounds))], pa.binary())
                 lists = pa.array([None if m else r for m, r in zip(mask, keys)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(sizes), node, lists], ["doc_id", "n_shingles", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), pa.array(sizes), node, lists], ["doc_id", "h", "n_shingles", "node", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node binary, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, h long, n_shingles long, node binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, n: int, lower: bool = True) -> DataFrame:
@@ -162,6 +163,27 @@ def near_duplicates(
     all. An empty table gives no rows. Other columns are not read. A pair of similarity s is a candidate with
     probability 1 - (1 - s**4)**32: 0.99999995 at 0.8.
     """
+    return _components(spark, docs, words, percent, lower, work).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True, work: Workspace | None = None) -> DataFrame:
+    """``docs`` with one row of each component, all columns kept: of the smallest doc_id, and of equal rows any one.
+
+    Rows without words are no duplicates and all stay. A null doc_id comes after all others. The decisions are narrow
+    rows of doc_id and a hash of the text; texts meet them in one join.
+    """
+    found = _components(spark, docs, words, percent, lower, work)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")).alias("b")
+    absent = F.lit(-(1 << 63))
+    chosen = found.where("root is not null").groupBy("root").agg(best).select(F.coalesce("b.doc_id", absent).alias("id"), F.col("b.h").alias("h"))
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(worded).select(F.coalesce(F.col("doc_id").cast("long"), absent).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    one = rows.join(chosen, ["id", "h"], "left_semi").groupBy("id", "h").agg(F.first("row").alias("row"))
+    return one.select("row.*").unionAll(docs.where(~worded))
+
+
+def _components(spark: SparkSession, docs: DataFrame, words: int, percent: int, lower: bool, work: Workspace | None) -> DataFrame:
+    """``doc_id, h, n_shingles, root, component_id, kept``; no root for an empty set."""
     ship_code(spark)
     work = work or Workspace(spark, "minhash")
     base = work.table(signatures(docs, words, lower), "signatures")
@@ -210,6 +232,8 @@ def near_duplicates(
     )
     more = work.table(_links_within(dealt.join(sets, "node"), percent), "links-2")
     final = components(links.unionAll(more), work, "roots-2")
+    for name in ("members", "sets", "links-1", "links-2"):
+        work.drop(name)
     return _labelled(base, lead, final)
 
 
@@ -217,11 +241,11 @@ def _labelled(base: DataFrame, lead: DataFrame, roots: DataFrame) -> DataFrame:
     """Each row with the smallest doc_id of its component."""
     linked = lead.select("node", "lead").join(roots, "node").select("node", "lead", "root")
     least = linked.groupBy("root").agg(F.min("lead").alias("component"))
-    label = linked.join(least, "root").select("node", "component")
-    of = lead.select("node", "lead").join(label, "node", "left").select("node", F.coalesce("component", "lead").alias("component"))
+    label = linked.join(least, "root").select("node", "component", "root")
+    of = lead.select("node", "lead").join(label, "node", "left").select("node", F.coalesce("component", "lead").alias("component"), F.coalesce("root", "node").alias("root"))
     out = base.join(of, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "h", "n_shingles", "root", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
