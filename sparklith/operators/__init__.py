@@ -1 +1 @@
-"""Package."""
+"""Table-level operators: positions, partitions, joins, prefix sums."""

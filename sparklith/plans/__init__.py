@@ -1 +1 @@
-"""Package."""
+"""Expression text to plans, and the catalogue of queries."""

@@ -1,4 +1,357 @@
-"""Registered queries."""
+"""Every registered query with the SQL that it must agree with.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Positions come from ``orders`` by ``o_orderkey``, which is unique. NULLs are injected with ``nullif``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparklith.functions import expressions as X
+from sparklith.functions.hashing import bucket_id, row_hash
+from sparklith.functions.registry import Signature, default_registry
+from sparklith.functions.validity import both_valid, either_valid, is_valid, with_validity
+from sparklith.operators import joins, partitioning, positional, prefix
+from sparklith.sources import slice_rows, table
+
+from .sql import project
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None):  # noqa: ANN201
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# Scalar kernels over lineitem.
+_ITEM = "l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(l_linenumber as smallint) as n16, cast(l_linenumber as tinyint) as n8, l_partkey = l_suppkey as same, nullif(l_partkey, l_suppkey) as part_or_null, l_returnflag, l_linestatus"
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "cast(l_linenumber as smallint) as n16", "cast(l_linenumber as tinyint) as n8",
+        "l_partkey = l_suppkey as same", "nullif(l_partkey, l_suppkey) as part_or_null", "l_returnflag", "l_linestatus",
+    )
+
+
+def _scalar(name: str, build: Callable[[DataFrame], F.Column], sql: str) -> None:
+    @query(name, f"select l_orderkey as k, {sql} as out from (select {_ITEM} from lineitem)")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = items(spark, sf_dir)
+        return df.select(F.col("l_orderkey").alias("k"), build(df).alias("out"))
+
+
+_scalar("add_u64_u64", lambda d: X.add(d, "l_orderkey", "l_partkey"), "l_orderkey + l_partkey")
+_scalar("add_u64_u32", lambda d: X.add(d, "l_orderkey", "l_linenumber"), "l_orderkey + l_linenumber")
+_scalar("add_u64_u16", lambda d: X.add(d, "l_orderkey", "n16"), "l_orderkey + n16")
+_scalar("add_u64_u8", lambda d: X.add(d, "l_orderkey", "n8"), "l_orderkey + n8")
+_scalar("add_u64_bool", lambda d: X.add(d, "l_orderkey", "same"), "l_orderkey + cast(same as bigint)")
+_scalar("add_u32_u32", lambda d: X.add(d, "l_linenumber", "l_linenumber"), "l_linenumber + l_linenumber")
+_scalar("add_null", lambda d: X.add(d, "part_or_null", "l_orderkey"), "part_or_null + l_orderkey")
+_scalar("add_try", lambda d: X.add(d, "l_orderkey", "l_partkey", overflow="null"), "l_orderkey + l_partkey")
+_scalar("add_constant", lambda d: X.add(d, "l_orderkey", X.constant(7)), "l_orderkey + 7")
+_scalar("eq_num", lambda d: X.eq(d, "l_partkey", "l_suppkey"), "l_partkey = l_suppkey")
+_scalar("eq_u64_bool", lambda d: X.eq(d, "l_linenumber", "same"), "l_linenumber = cast(same as bigint)")
+_scalar("eq_str", lambda d: X.eq(d, "l_returnflag", "l_linestatus"), "l_returnflag = l_linestatus")
+_scalar("eq_null", lambda d: X.eq(d, "part_or_null", "l_suppkey"), "part_or_null = l_suppkey")
+_scalar("gt_num", lambda d: X.gt(d, "l_partkey", "l_suppkey"), "l_partkey > l_suppkey")
+_scalar("gt_null", lambda d: X.gt(d, "part_or_null", "l_linenumber"), "part_or_null > l_linenumber")
+_scalar("ge_num", lambda d: X.ge(d, "l_partkey", "l_suppkey"), "l_partkey >= l_suppkey")
+_scalar("ge_null", lambda d: X.ge(d, "part_or_null", "l_linenumber"), "part_or_null >= l_linenumber")
+_scalar("validity_attach", lambda d: with_validity(F.col("l_partkey"), F.col("n8") - 1), "case when n8 <> 1 then l_partkey end")
+_scalar("validity_and", lambda d: both_valid(F.col("part_or_null"), F.col("l_orderkey")), "part_or_null is not null and l_orderkey is not null")
+_scalar("validity_or", lambda d: either_valid(F.col("part_or_null"), F.col("l_orderkey")), "part_or_null is not null or l_orderkey is not null")
+_scalar("validity_is_set", lambda d: is_valid(F.col("part_or_null")), "part_or_null is not null")
+
+
+# SQL projections.
+def _projection(name: str, text: str, sql: str, strict: bool = True) -> None:
+    @query(name, f"select {sql} as out from (select {_ITEM} from lineitem)")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return project(items(spark, sf_dir), text, strict=strict)
+
+
+_projection("add_chain", "(l_orderkey + l_linenumber) + l_suppkey", "(l_orderkey + l_linenumber) + l_suppkey")
+_projection("sql_eq", "SELECT l_partkey = l_suppkey", "l_partkey = l_suppkey")
+_projection("sql_gt", "l_partkey > l_suppkey", "l_partkey > l_suppkey")
+_projection("ge_expr_right", "l_orderkey >= (l_partkey + l_suppkey)", "l_orderkey >= l_partkey + l_suppkey")
+_projection("add_eq_nested", "l_orderkey + (l_partkey = l_suppkey)", "l_orderkey + cast(l_partkey = l_suppkey as bigint)")
+_projection("sql_expression_both_sides", "(l_orderkey + l_partkey) - (l_suppkey * 2)", "(l_orderkey + l_partkey) - (l_suppkey * 2)", strict=False)
+_projection("sql_expression_left", "(l_orderkey + l_partkey) >= l_suppkey", "(l_orderkey + l_partkey) >= l_suppkey", strict=False)
+
+
+@query("udf_kernel", f"select l_orderkey - l_partkey as out from (select {_ITEM} from lineitem)")
+def udf_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kernel that the user registers under ``-`` is reachable from strict expressions."""
+    registry = default_registry()
+    registry.register(Signature.of("-", "u64", "u64"), lambda a, b: a - b, "u64")
+    return project(items(spark, sf_dir), "l_orderkey - l_partkey", strict=True, registry=registry)
+
+
+# Positions.
+def positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional.with_position(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), "o_orderkey")
+
+
+_POS = "select o_orderkey, o_custkey, o_totalprice, o_orderstatus, row_number() over (order by o_orderkey) - 1 as pos from orders"
+
+
+@query("positions", f"select o_orderkey, pos from ({_POS})")
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positioned(spark, sf_dir).select("o_orderkey", "pos")
+
+
+@query("slice", f"select o_orderkey, pos - 100 as pos from ({_POS}) where pos >= 100 and pos < 1000")
+def sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slice_rows(positioned(spark, sf_dir), 100, 1000).select("o_orderkey", "pos")
+
+
+def _reversed_index(df: DataFrame) -> DataFrame:
+    """pos -> pos / 2: every position twice, the later half never."""
+    return df.select("pos", F.floor(F.col("pos") / 2).cast("bigint").alias("at"))
+
+
+@query("gather", f"with p as ({_POS}) select i.pos, d.o_orderkey from p i join p d on d.pos = i.pos // 2")
+def gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = positioned(spark, sf_dir)
+    return positional.gather(df.select("pos", "o_orderkey"), _reversed_index(df))
+
+
+@query("re_index", f"with p as ({_POS}) select i.pos, d.o_orderkey from p i join p d on d.pos = (i.pos // 2) // 2")
+def re_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = positioned(spark, sf_dir)
+    index = _reversed_index(df)
+    twice = positional.re_index(index, index)
+    return positional.gather(df.select("pos", "o_orderkey"), twice)
+
+
+@query("aligned_zip", f"with p as ({_POS}) select pos, o_orderkey, o_custkey from p")
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = positioned(spark, sf_dir)
+    return positional.aligned_zip(df.select("pos", "o_orderkey"), df.select("pos", "o_custkey"))
+
+
+@query("len_data", "select count(*) as n from orders")
+def len_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional.length(table(spark, sf_dir, "orders"))
+
+
+@query("len_logical", f"select count(*) as n from ({_POS}) where pos < 100")
+def len_logical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = positioned(spark, sf_dir)
+    return positional.length(positional.gather(df.select("pos", "o_orderkey"), _reversed_index(df).where("pos < 100")))
+
+
+# Joins.
+@query("join_inner_dup", "select c_custkey, s_suppkey from customer join supplier on c_nationkey = s_nationkey")
+def join_inner_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    return joins.hash_join(c, s, [("c_nationkey", "s_nationkey")]).select("c_custkey", "s_suppkey")
+
+
+@query("join_null_keys", "select c_custkey, s_suppkey from (select *, nullif(c_nationkey, 3) as ck from customer) join (select *, nullif(s_nationkey, 5) as sk from supplier) on ck = sk")
+def join_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").withColumn("ck", F.expr("nullif(c_nationkey, 3)"))
+    s = table(spark, sf_dir, "supplier").withColumn("sk", F.expr("nullif(s_nationkey, 5)"))
+    return joins.hash_join(c, s, [("ck", "sk")]).select("c_custkey", "s_suppkey")
+
+
+@query("join_residual_ge", "select l_orderkey, l_partkey, o_custkey from lineitem join orders on l_orderkey = o_orderkey and l_partkey >= o_custkey")
+def join_residual_ge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    return joins.hash_join(l, o, [("l_orderkey", "o_orderkey")], "l_partkey >= o_custkey").select("l_orderkey", "l_partkey", "o_custkey")
+
+
+@query("join_residual_gt", "select c_custkey, s_suppkey from customer join supplier on c_nationkey = s_nationkey and c_custkey > s_suppkey")
+def join_residual_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    return joins.hash_join(c, s, [("c_nationkey", "s_nationkey")], "c_custkey > s_suppkey").select("c_custkey", "s_suppkey")
+
+
+@query("join_string_key", "with a as (select p_brand, count(*) as n from part group by 1), b as (select p_brand as brand, max(p_size) as size from part group by 1) select p_brand, n, size from a join b on p_brand = brand")
+def join_string_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    a, b = p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")), p.groupBy(F.col("p_brand").alias("brand")).agg(F.max("p_size").alias("size"))
+    return joins.hash_join(a, b, [("p_brand", "brand")]).select("p_brand", "n", "size")
+
+
+@query("join_empty", "select c_custkey, s_suppkey from customer join supplier on c_nationkey = s_nationkey where s_suppkey < 0")
+def join_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier").where("s_suppkey < 0")
+    return joins.hash_join(c, s, [("c_nationkey", "s_nationkey")]).select("c_custkey", "s_suppkey")
+
+
+@query("join_shuffle_hash", "select l_orderkey, l_suppkey, o_custkey from lineitem join orders on l_orderkey = o_orderkey")
+def join_shuffle_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    return joins.hash_join(o, l, [("o_orderkey", "l_orderkey")], hint="shuffle_hash").select("l_orderkey", "l_suppkey", "o_custkey")
+
+
+@query("join_bucketed", "select l_orderkey, l_partkey, o_custkey from lineitem join orders on l_orderkey = o_orderkey and l_partkey >= o_custkey")
+def join_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash, 2**6 buckets, and a join inside the buckets with the residual."""
+    l = partitioning.with_bucket(table(spark, sf_dir, "lineitem"), ["l_orderkey"], 6)
+    o = partitioning.with_bucket(table(spark, sf_dir, "orders"), ["o_orderkey"], 6)
+    return joins.bucketed_join(l, o, [("l_orderkey", "o_orderkey")], 6, "l_partkey >= o_custkey").select("l_orderkey", "l_partkey", "o_custkey")
+
+
+@query("join_index_pairs", f"with p as ({_POS}), c as (select c_custkey, row_number() over (order by c_custkey) - 1 as cpos from customer) select pos as left_pos, cpos as right_pos from p join c on o_custkey = c_custkey")
+def join_index_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = positioned(spark, sf_dir)
+    c = positional.with_position(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    return joins.index_pairs(o, c, "o_custkey", "c_custkey")
+
+
+@query("filter_pairs", f"with p as ({_POS}), c as (select c_custkey, c_acctbal, row_number() over (order by c_custkey) - 1 as cpos from customer) select pos as left_pos, cpos as right_pos from p join c on o_custkey = c_custkey where o_totalprice >= c_acctbal * 10")
+def filter_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = positioned(spark, sf_dir)
+    c = positional.with_position(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
+    pairs = joins.index_pairs(o, c, "o_custkey", "c_custkey")
+    return joins.filter_pairs(pairs, o.select("pos", "o_totalprice"), c.select("pos", "c_acctbal"), "o_totalprice >= c_acctbal * 10")
+
+
+# Buckets and partitions; the bucket of a key is here the key itself modulo 64, which SQL has, too.
+@query("bucket_id", "select l_orderkey, l_orderkey % 64 as bucket from lineitem")
+def bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", bucket_id("l_orderkey", 6).alias("bucket"))
+
+
+@query("bucket_null", "select l_orderkey, coalesce(nullif(l_partkey, l_suppkey) % 64, 63) as bucket from lineitem")
+def bucket_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items(spark, sf_dir).select("l_orderkey", bucket_id("part_or_null", 6).alias("bucket"))
+
+
+_BUCKETS = f"select *, o_custkey % 16 as bucket, pos // 1000 as chunk from ({_POS})"
+_GRID = f"with b as ({_BUCKETS}), g as (select c as chunk, k as bucket from (select distinct chunk as c from b), (select unnest(range(16)) as k)), n as (select g.chunk, g.bucket, count(b.pos) as n from g left join b on b.chunk = g.chunk and b.bucket = g.bucket group by 1, 2)"
+
+
+def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitioning.chunk(positioned(spark, sf_dir).withColumn("bucket", bucket_id("o_custkey", 4)), 1000)
+
+
+@query("bucket_histogram", f"{_GRID} select chunk, bucket, n from n")
+def bucket_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = bucketed(spark, sf_dir)
+    chunks = -(-table(spark, sf_dir, "orders").count() // 1000)
+    return partitioning.bucket_histogram(df, 16, chunk="chunk", chunks=chunks).select("chunk", "bucket", "n")
+
+
+@query("bucket_offsets", f'{_GRID} select chunk, bucket, cast(coalesce(sum(n) over (partition by bucket order by chunk rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from n')
+def bucket_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = bucketed(spark, sf_dir)
+    chunks = -(-table(spark, sf_dir, "orders").count() // 1000)
+    return partitioning.bucket_histogram(df, 16, chunk="chunk", chunks=chunks).select("chunk", "bucket", "offset")
+
+
+@query("bucket_totals", f"with b as ({_BUCKETS}), k as (select unnest(range(32)) as bucket) select k.bucket, count(b.pos) as n from k left join b on b.bucket = k.bucket group by 1")
+def bucket_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twice as many buckets as there are in the data: the empty ones count 0."""
+    return partitioning.bucket_totals(bucketed(spark, sf_dir), 32)
+
+
+@query("partition_stable", f"select o_orderkey, bucket, row_number() over (partition by bucket order by pos) - 1 as pos_in from ({_BUCKETS})")
+def partition_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitioning.partition_by_bucket(bucketed(spark, sf_dir)).select("o_orderkey", "bucket", "pos_in")
+
+
+@query("partition_strings", f"select o_orderstatus, bucket, row_number() over (partition by bucket order by pos) - 1 as pos_in from ({_BUCKETS})")
+def partition_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitioning.partition_by_bucket(bucketed(spark, sf_dir)).select("o_orderstatus", "bucket", "pos_in")
+
+
+@query("partition_lengths", f"select bucket, count(*) as n from ({_BUCKETS}) group by 1")
+def partition_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitioning.partition_lengths(bucketed(spark, sf_dir))
+
+
+_TWO = f"with a as (select *, row_number() over (partition by bucket order by pos) - 1 as pos_in from ({_BUCKETS})), b as (select *, o_orderkey % 4 as bucket2 from a), c as (select *, row_number() over (partition by bucket2 order by bucket, pos_in) - 1 as pos_in2 from b)"
+
+
+@query("repartition_two_level", f"{_TWO} select o_orderkey, bucket2, pos_in2 from c")
+def repartition_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = partitioning.partition_by_bucket(bucketed(spark, sf_dir))
+    return partitioning.repartition_bucket(df, bucket_id("o_orderkey", 2)).select("o_orderkey", "bucket2", "pos_in2")
+
+
+@query("chunk_fixed", f"select o_orderkey, pos // 7 as chunk from ({_POS})")
+def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitioning.chunk(positioned(spark, sf_dir), 7).select("o_orderkey", "chunk")
+
+
+@query("chunk_sizes", f"with p as ({_POS}), m as (select count(*) as n from p) select o_orderkey, case when pos < n // 2 then 0 when pos < n // 2 + n // 3 then 1 else 2 end as chunk from p, m")
+def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = positioned(spark, sf_dir)
+    n = table(spark, sf_dir, "orders").count()
+    return partitioning.chunk_with_sizes(df, [n // 2, n // 3, n - n // 2 - n // 3]).select("o_orderkey", "chunk")
+
+
+@query("flatten", f"select o_orderkey, row_number() over (order by bucket, pos) - 1 as flat from ({_BUCKETS})")
+def flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitioning.flatten(partitioning.partition_by_bucket(bucketed(spark, sf_dir))).select("o_orderkey", "flat")
+
+
+_INDEX = f"with a as (select *, row_number() over (partition by bucket order by pos) - 1 as pos_in from ({_BUCKETS})), ix as (select bucket, pos_in as i, (pos_in // 2) * 2 as target from a), u as (select distinct bucket, target from ix), r as (select bucket, target, row_number() over (order by bucket, target) - 1 as flat from u)"
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    df = partitioning.partition_by_bucket(bucketed(spark, sf_dir)).select("o_orderkey", "bucket", "pos_in")
+    index = df.select("bucket", F.col("pos_in").alias("i"), (F.floor(F.col("pos_in") / 2) * 2).cast("bigint").alias("at"))
+    return partitioning.flatten_indexed(df, index)
+
+
+@query("flatten_indexed_data", f"{_INDEX} select a.o_orderkey, r.flat from a join r on r.bucket = a.bucket and r.target = a.pos_in")
+def flatten_indexed_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, sf_dir)[0].select("o_orderkey", "flat")
+
+
+@query("flatten_indexed_index", f"{_INDEX} select row_number() over (order by ix.bucket, ix.i) - 1 as flat_i, r.flat from ix join r on r.bucket = ix.bucket and r.target = ix.target")
+def flatten_indexed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, sf_dir)[1]
+
+
+@query("flatten_roundtrip", "select count(*) as n, cast(sum(o_orderkey) as bigint) as s, min(o_orderkey) as lo, max(o_orderkey) as hi from orders")
+def flatten_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket by a real hash, partition, flatten: every row is there once."""
+    df = positioned(spark, sf_dir)
+    parts = partitioning.partition_by_bucket(partitioning.with_bucket(df, ["o_custkey", "o_orderstatus"], 10))
+    return partitioning.flatten(parts).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("s"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+
+
+@query("hash_roundtrip", "select l_returnflag, l_linestatus, l_linenumber, count(*) as n from lineitem group by 1, 2, 3")
+def hash_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each hash of three columns, with the columns it stands for."""
+    df = table(spark, sf_dir, "lineitem").withColumn("h", row_hash("l_returnflag", "l_linestatus", "l_linenumber"))
+    return df.groupBy("h").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("l_linestatus"), F.min("l_linenumber").alias("l_linenumber"), F.count(F.lit(1)).alias("n")).drop("h")
+
+
+@query("hash_null", "select count(*) as n, count(nullif(l_partkey, l_suppkey)) as valid from lineitem")
+def hash_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The combined hash is valid where all its columns are."""
+    return items(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count(row_hash("l_orderkey", "part_or_null")).alias("valid"))
+
+
+@query("string_hash_partition", None)
+def string_hash_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings hashed into 2**10 buckets, put there physically, counted and flattened."""
+    df = partitioning.with_bucket(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_name"], 10)
+    return partitioning.flatten(partitioning.partition_by_bucket(df, pos="c_custkey")).select("c_custkey", "c_name", "bucket", "flat")
+
+
+@query("prefix_sum", "select o_orderkey, cast(sum(o_custkey) over (order by o_orderkey) + 1 as bigint) as prefix from orders")
+def prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix.prefix_sum(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", 1).select("o_orderkey", "prefix")
+
+
+@query("prefix_sum_parallel", "select o_orderkey, cast(sum(o_custkey) over (order by o_orderkey) + 1 as bigint) as prefix from orders")
+def prefix_sum_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix.prefix_sum_parallel(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", 1, chunk=4096).select("o_orderkey", "prefix")

@@ -1 +1,3 @@
-"""Package."""
+"""Where tables come from and where they go."""
+
+from .columns import attach_validity, column, named, slice_rows, strings, table, take, write_table  # noqa: F401
