@@ -56,14 +56,29 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, bloc
     role is ``system``.
     """
     base = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    row = F.struct("turn", "role", "text").alias("t")
-    block = F.floor(F.coalesce("turn", F.lit(0)) / F.lit(block_turns)).cast("long").alias("block")
-    # The conversation's opening turn goes with each block; the history before a block is the last turns of the one before.
-    heads = base.groupBy("conv_id").agg(F.min(row).alias("head")).select("conv_id", F.when(F.col("head.role") == "system", F.col("head")).alias("head"))
-    blocks = base.select("conv_id", block, row).groupBy("conv_id", "block").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    long = blocks.select("conv_id", (F.col("block") + 1).alias("block"), F.slice("turns", -F.least(F.size("turns"), F.lit(max(history, 1))), max(history, 1)).alias("before"))
-    joined = blocks.alias("b").join(heads.alias("h"), F.expr("b.conv_id <=> h.conv_id"), "left").select("b.conv_id", "block", "turns", "head")
-    joined = joined.alias("b").join(long.alias("l"), F.expr("b.conv_id <=> l.conv_id and b.block = l.block"), "left").select("b.conv_id", "b.block", "turns", "head", F.coalesce("before", F.expr("slice(turns, 1, 0)")).alias("before"))
+    none = F.expr("cast(null as struct<turn:bigint,role:string,text:string>)")
+    row = F.struct("turn", "role", "text")
+    base = base.withColumn("block", F.floor(F.coalesce("turn", F.lit(0)) / F.lit(block_turns)).cast("long"))
+    # A turn goes to its own block; the last turns of a block, by number, go to the next one, too, as its history.
+    ahead = F.pmod(F.coalesce("turn", F.lit(0)), F.lit(block_turns)) >= block_turns - history
+    kinds = F.array(F.struct("block", F.lit(2).alias("kind")), F.when(ahead, F.struct((F.col("block") + 1).alias("block"), F.lit(1).alias("kind"))))
+    dealt = base.select("conv_id", row.alias("t"), F.explode(F.array_compact(kinds)).alias("k")).select("conv_id", "k.block", "k.kind", "t")
+    # The opening turn of a conversation of several blocks goes to all later ones; only its own text is moved for that.
+    extent = base.groupBy("conv_id").agg(F.min(F.struct("turn", "role")).alias("m"), F.min("block").alias("b0"), F.max("block").alias("b1"))
+    several = extent.where("b0 < b1 and m.role = 'system'").select(F.col("conv_id").alias("c"), F.col("m.turn").alias("m"), "b0")
+    opening = base.where("role = 'system'").join(several, F.expr("conv_id <=> c and turn <=> m")).groupBy("c", "b0").agg(F.min(row).alias("t"))
+    later = base.select("conv_id", "block").distinct().join(opening, F.expr("conv_id <=> c and block > b0")).select("conv_id", "block", F.lit(0).alias("kind"), "t")
+    item = F.struct("kind", "t")
+    joined = dealt.unionByName(later).groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(item)).alias("r"))
+
+    def of(kind: int) -> Column:
+        return F.transform(F.filter("r", lambda x: x["kind"] == kind), lambda x: x["t"])
+
+    joined = joined.select("conv_id", "block", of(2).alias("turns"), of(1).alias("before"), F.try_element_at(of(0), F.lit(1)).alias("head")).where(F.size("turns") > 0)
+    # In a conversation's first block the opening turn stands first.
+    opens = F.col("head").isNull() & (F.size("before") == 0) & (F.col("turns")[0]["role"] == "system")
+    joined = joined.withColumn("head", F.when(opens, F.col("turns")[0]).when(F.col("head").isNotNull(), F.col("head")).otherwise(none))
+    joined = joined.withColumn("before", F.slice("before", -F.greatest(F.least(F.size("before"), F.lit(max(history, 1))), F.lit(1)), max(history, 1)) if history else F.slice("before", 1, 0))
 
     # Prefix sums of tokens over past and new turns: sums[i] is what stands before turn i.
     skip = F.size("before")
@@ -77,7 +92,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, bloc
         case when i > element_at(acc, -1) and head_size + sums[i + 1] - sums[greatest(element_at(acc, -1) - {history}, 0)] > {budget}
         then concat(acc, array(i)) else acc end)"""
     )
-    opened = sized.withColumn("starts", fits).select("*", F.posexplode("starts").alias("window", "from"))
+    opened = sized.withColumn("starts", fits).select("*", F.posexplode_outer("starts").alias("window", "from"))
     until = F.coalesce(F.try_element_at("starts", F.col("window") + 2), F.size("all"))
     opened = opened.withColumn("until", until)
     # History is taken from the nearest turns backwards as far as the budget allows; the head is not repeated twice.
