@@ -36,11 +36,12 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts that lose nothing stay as they are; the others become their kept words, joined by one space.
     """
-    out = substring.remove_repeats(spark, docs, PASSAGE)
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-    chars = F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    new = {"text": text} | ({"n_chars": F.when(F.col("_n_removed") > 0, chars).otherwise(F.col("n_chars"))} if chars is not None else {})
-    return out.withColumns(new).select(docs.columns)
+    cut = substring.cut_rows(spark, docs, PASSAGE)
+    lost = F.col("cut.n_removed") > 0
+    new = {"text": F.when(lost, F.col("cut.kept")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(lost, F.length("cut.kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return cut.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

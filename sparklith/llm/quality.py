@@ -210,11 +210,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold
     work = Workspace(spark, "quality")
     _, model = trained(spark, docs, labels, work)
     work.drop()
-    return with_score(docs, model).where(F.col("_score") >= threshold).drop("_score")
+    return docs.where(score_of(F.col("text").cast("string"), model) >= threshold)
 
 
-def with_score(docs: DataFrame, model: QDA, name: str = "_score") -> DataFrame:
-    """``docs`` with one more column: the score of each row's text."""
+def score_of(text: F.Column, model: QDA) -> F.Column:
+    """The score of a text column."""
 
     @F.pandas_udf("double")
     def score(text):  # noqa: ANN001, ANN202
@@ -223,4 +223,4 @@ def with_score(docs: DataFrame, model: QDA, name: str = "_score") -> DataFrame:
         found = [model.score(features(data, offsets)) for _, _, data, offsets in blocks(pa.array(text, pa.string(), from_pandas=True))]
         return pd.Series(np.concatenate(found) if found else np.zeros(0))
 
-    return docs.withColumn(name, score(F.col("text").cast("string")))
+    return score(text)

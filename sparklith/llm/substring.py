@@ -205,10 +205,22 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, n: int, work: Workspa
 def remove_repeats(spark: SparkSession, docs: DataFrame, n: int = 50, work: Workspace | None = None) -> DataFrame:
     """``docs`` with four more columns: ``_kept`` (the kept words joined by one space), ``_n_words``, ``_n_removed``, ``_spans``.
 
+    What is removed is told at :func:`cut_rows`; ``_spans`` are ranges (start, end) of removed words. A column of
+    ``docs`` that has one of these four names gives way to the new one.
+    """
+    new = {f"_{c}": f"cut.{c}" for c in ("kept", "n_words", "n_removed", "spans")}
+    old = [F.col(f"row.`{c}`") for c in docs.columns if c not in new]
+    return cut_rows(spark, docs, n, work).select(*old, *(F.col(x).alias(c) for c, x in new.items()))
+
+
+def cut_rows(spark: SparkSession, docs: DataFrame, n: int = 50, work: Workspace | None = None) -> DataFrame:
+    """``row, cut`` for each row of ``docs``: all its columns, and what is left of its text.
+
     Removes every word that is covered by a window of n words which also starts anywhere else, in the same row or
-    another. Words are kept as they are, case and marks included; whole texts count. Null text: no words, ``_kept``
-    empty. Texts of fewer than n words stay whole. Repeated rows are each other's copies, so windows in them are
-    repeated. Null ids are allowed. An empty table stays empty. ``_spans`` are ranges (start, end) of removed words.
+    another. Words are kept as they are, case and marks included; whole texts count. ``cut`` has ``kept`` (the kept
+    words joined by one space), ``n_words``, ``n_removed`` and ``spans``. Null text: no words, ``kept`` empty. Texts of
+    fewer than n words stay whole. Repeated rows are each other's copies, so windows in them are repeated. Null ids are
+    allowed. An empty table stays empty. Columns of ``docs`` may have any names.
     """
     work = work or Workspace(spark, "substring")
     starts = repeated_windows(spark, docs, n, work)
@@ -235,8 +247,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, n: int = 50, work: Work
             rows.append((b" ".join([w for w, c in zip(words, covered.tolist()) if not c]).decode("utf-8", "surrogatepass"), len(words), int(covered.sum()), spans))
         return pd.DataFrame(rows, columns=["kept", "n_words", "n_removed", "spans"])
 
-    out = joined.select("row", cut("text", "starts").alias("cut"))
-    return out.select("row.*", F.col("cut.kept").alias("_kept"), F.col("cut.n_words").alias("_n_words"), F.col("cut.n_removed").alias("_n_removed"), F.col("cut.spans").alias("_spans"))
+    return joined.select("row", cut("text", "starts").alias("cut"))
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
