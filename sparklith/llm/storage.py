@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,21 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that run within remove their shuffle files at their end, not when the driver happens to collect garbage.
+
+    A table that was written is never computed again, so nothing asks for them. The session's own setting comes back.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Workspace:
     """A fresh folder below the shared root; tables in it cut the lineage and outlive lost executors."""
 
@@ -43,7 +60,8 @@ class Workspace:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return the table that was written."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with released_shuffles(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
