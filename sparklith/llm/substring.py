@@ -86,10 +86,19 @@ def _first_level(keyed: DataFrame, n: int, length: int) -> DataFrame:
     return keyed.mapInArrow(run, "run long, id long, h long, at int")
 
 
-def _repeated(found: DataFrame, by: list[str], place: list[str]) -> DataFrame:
+def _hits(found: DataFrame, by: list[str], work: Workspace, name: str) -> DataFrame:
+    """The rows of ``found`` whose run stands at more than one position in all.
+
+    The repeated runs are written first. Both sides of the join are then plain shuffles, which Spark splits where one
+    run has very many rows; an aggregate on one side would keep them in one task.
+    """
+    many = work.table(found.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), name)
+    return found.join(many, by, "left_semi")
+
+
+def _repeated(found: DataFrame, by: list[str], place: list[str], work: Workspace, name: str) -> DataFrame:
     """For each place, the positions ``at`` whose run stands at more than one position in all."""
-    many = found.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    return found.join(many, by, "left_semi").groupBy(*place).agg(F.collect_set("at").alias("at"))
+    return _hits(found, by, work, name).groupBy(*place).agg(F.collect_set("at").alias("at"))
 
 
 def _regions(texts: DataFrame, n: int, length: int) -> DataFrame:
@@ -189,17 +198,21 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, n: int, work: Workspa
     keyed, steps = _keyed(docs), lengths(n)
     found = _first_level(keyed, n, steps[0])
     if len(steps) == 1:
-        return _repeated(found, ["run"], KEY).withColumnRenamed("at", "starts")
-    live = _repeated(found, ["run"], KEY)
+        return _repeated(found, ["run"], KEY, work, "runs-0").withColumnRenamed("at", "starts")
+    live = _repeated(found, ["run"], KEY, work, "runs-0")
     # Copies of a row are one here; they were counted as many above and are again below.
     regions = work.table(_regions(keyed.join(live, KEY), n, steps[0]), "regions-0")
     for k, length in enumerate(steps[1:-1], 1):
-        at = _repeated(_next_level(regions, n, length), ["run"], [*KEY, "first"])
+        at = _repeated(_next_level(regions, n, length), ["run"], [*KEY, "first"], work, f"runs-{k}")
         regions = work.table(_shrunk(regions.join(at, [*KEY, "first"]), n, length), f"regions-{k}")
+        for name in (f"regions-{k - 1}", f"runs-{k - 1}", f"runs-{k}"):
+            work.drop(name)
     last = _next_level(regions, n, n)
-    many = last.groupBy("run", "run2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    hit = last.join(many, ["run", "run2"], "left_semi")
-    return work.table(hit.groupBy(*KEY).agg(F.collect_set((F.col("first") + F.col("at")).cast("int")).alias("starts")), "starts")
+    hit = _hits(last, ["run", "run2"], work, "runs-last")
+    starts = work.table(hit.groupBy(*KEY).agg(F.collect_set((F.col("first") + F.col("at")).cast("int")).alias("starts")), "starts")
+    for name in (f"regions-{len(steps) - 2}", f"runs-{len(steps) - 2}", "runs-last"):
+        work.drop(name)
+    return starts
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, n: int = 50, work: Workspace | None = None) -> DataFrame:
