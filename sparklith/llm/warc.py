@@ -73,14 +73,14 @@ def shard_bounds(pages: DataFrame, shard_bytes: int | None = None) -> list[int]:
 
 
 def decisions(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """``page_id, refers_to`` of the pages whose payload also stands under a smaller page_id; no payload is shuffled.
+    """``page_id, d, refers_to`` of the payloads, by digest, that also stand under a smaller page_id; no payload is shuffled.
 
     Payloads are compared by SHA-256. Each digest's smallest id comes from a partly aggregated group, and only digests
     with several ids go into the join.
     """
     light = pages.where(F.octet_length("html") >= least).select("page_id", F.unhex(F.sha2("html", 256)).alias("d"))
     lead = light.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
-    return light.join(lead, "d").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return light.join(lead, "d").where("page_id > refers_to").select("page_id", "d", "refers_to").distinct()
 
 
 def _member(headers: list[tuple[str, str]], block: bytes, level: int) -> bytes:
@@ -162,23 +162,25 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, least: int = LEAST
         return pd.Series(np.searchsorted(bounds, page_id.to_numpy(), "right").astype("int32"))
 
     # A decision travels to its page's shard and sorts right before the page: payloads are shuffled once.
-    told = decisions(rows, least).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to", F.lit(0).alias("kind"))
-    both = rows.select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind")).unionAll(told)
+    told = decisions(rows, least).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "d", "refers_to", F.lit(0).alias("kind"))
+    both = rows.select("page_id", "url", "html", F.lit(None).cast("binary").alias("d"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind")).unionAll(told)
     dealt = both.withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(1 << 63))))).repartitionById(len(bounds) + 1, F.col("shard"))
     order = dealt.sortWithinPartitions("page_id", "kind", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, told_id, told_to, done = None, None, None, []
+        files, told_id, told_to, done = None, None, {}, []
         for batch in batches:
             for i in range(batch.num_rows):
-                page_id, url, html, refers_to, kind, shard = (batch.column(j)[i].as_py() for j in range(6))
+                page_id, url, html, digest, refers_to, kind, shard = (batch.column(j)[i].as_py() for j in range(7))
                 if kind == 0:
-                    told_id, told_to = page_id, refers_to
+                    if page_id != told_id:
+                        told_id, told_to = page_id, {}
+                    told_to[digest] = refers_to
                     continue
                 files = files or _Files(folder, shard, roll)
                 payload = html.encode("utf-8", "surrogatepass")
-                # Of rows that share an id, only those long enough were compared.
-                to = told_to if page_id is not None and page_id == told_id and len(payload) >= least else None
+                # Of rows that share an id, each goes by its own payload's decision.
+                to = told_to.get(hashlib.sha256(payload).digest()) if page_id is not None and page_id == told_id else None
                 done += files.add(render(page_id, url, payload, to, level), page_id)
         if files and files.out is not None:
             done.append(files.close())
@@ -186,7 +188,7 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, least: int = LEAST
             yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["file", "records", "bytes", "digest", "first_page", "last_page"])
 
     path = f"{folder}/_manifest"
-    order.select("page_id", "url", "html", "refers_to", "kind", "shard").mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(path)
+    order.select("page_id", "url", "html", "d", "refers_to", "kind", "shard").mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(path)
     return spark.read.schema(MANIFEST).parquet(path)
 
 

@@ -59,6 +59,14 @@ def test_empty_and_repeated_rows(spark, tmp_path):
     assert result(warc.read(spark, f"file://{tmp_path}/r")) == [(1, 206, "response", None), (1, 206, "response", None), (2, 1, "response", None), (2, 206, "revisit", 1)]
 
 
+def test_rows_of_one_id_go_by_their_own_payload(spark, tmp_path):
+    a, b, c = BIG, BIG + "b", BIG + "c"
+    warc.write(spark, made(spark, [(1, "u", a), (3, "u", c), (5, "u", a), (5, "u", b), (5, "u", c), (7, "u", b)]), f"file://{tmp_path}/w")
+    got = {(r["page_id"], r["payload_digest"]): (r["refers_to"], r["payload"] and bytes(r["payload"]).decode()) for r in warc.read(spark, f"file://{tmp_path}/w").collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {(1, digest(a)): (None, a), (3, digest(c)): (None, c), (5, digest(a)): (1, None), (5, digest(b)): (None, b), (5, digest(c)): (3, None), (7, digest(b)): (5, None)}
+
+
 def test_query_agrees_with_sql(spark):
     got = sorted(map(tuple, warc.op1_warc(spark, "/root/testdata/sf0.001").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()))
     con = duckdb.connect()
