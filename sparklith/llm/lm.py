@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, held in sorted hash arrays that workers map.
+"""Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark, held in sorted arrays that workers map.
 
 Words are known by their 64-bit hash. Tasks count on sorted arrays and send one packed row for each shard, so a very
 frequent word or pair is one entry of each task. Shards are ranges of hashes; their number grows with the text, so a
@@ -9,13 +9,20 @@ its part of every context's and every word's statistics; (3) these parts are add
 
 p(w|u) = max(c(uw) - D, 0) / c(u.) + g(u) p(w),  p(w) = max(N(.w) - D', 0) / N(..) + g' / (V + 1),
 with D from the counts of counts 1 to 4. After a context that was never seen, p(w) alone. N(.w): kinds of words before w.
+
+Order 3 has two steps more between (2) and (3): (2a) triples, as (number of the pair before, word), are counted in the
+shard of that pair, so each pair's followers lie together: words, counts, and an offset for each pair; (2b) each pair's
+kinds of words before it, N(.uw), and its back-off weight. Then N(.uw) stands for c(uw) in all of the above, but for
+pairs at a text's begin, which nothing precedes: they keep c(uw).
+
+p(w|tu) = max(c(tuw) - D", 0) / c(tu) + g"(tu) p(w|u);  a text's first word has p(w|u) alone, as has any after an unseen pair.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,12 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality import held_out
-from .storage import Workspace, filesystem
+from .storage import Workspace, filesystem, released_shuffles
 from .text import U64, Words, blocks, mix
 
 END = U64(0x6A09E667F3BCC909)
 #: Tokens of one shard; distinct entries that a counting task holds before it sends them.
 SHARD_TOKENS, HELD = 1 << 23, 1 << 21
+#: Triples of a shard that are looked up at a time.
+SLICE = 1 << 18
 BIG = np.uint32(0xFFFFFFFF)
 
 
@@ -47,6 +56,19 @@ def unsqueeze(d: bytes, large: bytes) -> np.ndarray:
     return np.cumsum(out, dtype=U64)
 
 
+def shrink(x: np.ndarray, dtype: str) -> tuple[bytes, bytes]:
+    """Numbers below 2**32 in a smaller type, and those that are too large for it."""
+    most = np.iinfo(dtype).max
+    large = x >= most
+    return np.where(large, most, x).astype(dtype).tobytes(), x[large].astype("<u4").tobytes()
+
+
+def unshrink(d: bytes, large: bytes, dtype: str) -> np.ndarray:
+    out = np.frombuffer(d, dtype).astype(np.int64)
+    out[out == np.iinfo(dtype).max] = np.frombuffer(large, "<u4")
+    return out
+
+
 def add_up(keys: list[np.ndarray], *values: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """(distinct keys in ascending order, each value summed over equal keys)."""
     k = np.concatenate(keys) if keys else np.zeros(0, U64)
@@ -133,6 +155,8 @@ class Model:
     pair_d: np.ndarray = field(default_factory=lambda: np.zeros(4))
     word_d: np.ndarray = field(default_factory=lambda: np.zeros(4))
     word_n: np.ndarray = field(default_factory=lambda: np.zeros(4))  # words with N(.w) = 1, 2, more; sum of N(.w)
+    order: int = 2
+    triple_d: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
     @property
     def types(self) -> int:
@@ -196,13 +220,62 @@ def _pairs(model: Model, numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return before.astype(U64) * U64(model.types + 1) + numbers.astype(U64)
 
 
-def learn(spark: SparkSession, docs: DataFrame, work: Workspace, shard_tokens: int = SHARD_TOKENS) -> Model:
-    """The model of all whole texts of ``docs`` (column text). Null texts are empty: an end alone."""
+class Pairs:
+    """Pair numbers, in the order of shards and keys, from the mapped arrays."""
+
+    def __init__(self, model: Model):
+        self.bits = model.bits
+        self.keys = [mapped(model.folder, f"pairs-{s:06d}", "<u8") for s in range(1 << model.bits)]
+        self.first = np.concatenate([[0], np.cumsum([len(k) for k in self.keys])])
+
+    def number(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each pair; -1 if it was not seen."""
+        kinds, back = np.unique(keys, return_inverse=True)
+        shard = _shard(mix(kinds), self.bits)
+        order = np.argsort(shard, kind="stable")
+        out = np.full(len(kinds), -1, np.int64)
+        for s, a, b in _splits(shard[order]):
+            own, have = kinds[order[a:b]], self.keys[s]
+            if len(have):
+                at = np.searchsorted(have, own)
+                hit = np.flatnonzero(at < len(have))
+                hit = hit[have[at[hit]] == own[hit]]
+                out[order[a + hit]] = self.first[s] + at[hit]
+        return out[back]
+
+
+def _ranges(first: np.ndarray, numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of ascending numbers that are all known."""
+    return _splits(np.searchsorted(first, numbers, "right") - 1)
+
+
+def _within(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Where each wanted value is in x, which ascends between its lo and hi; -1 if it is not there."""
+    lo, end = lo.astype(np.int64), hi.astype(np.int64)
+    hi = end.copy()
+    open_ = np.flatnonzero(lo < hi)
+    while len(open_):
+        middle = (lo[open_] + hi[open_]) >> 1
+        less = x[middle] < want[open_]
+        lo[open_[less]] = middle[less] + 1
+        hi[open_[~less]] = middle[~less]
+        open_ = open_[lo[open_] < hi[open_]]
+    out = np.full(len(lo), -1, np.int64)
+    at = np.flatnonzero(lo < end)
+    at = at[x[lo[at]] == want[at]]
+    out[at] = lo[at]
+    return out
+
+
+def learn(spark: SparkSession, docs: DataFrame, work: Workspace, shard_tokens: int = SHARD_TOKENS, order: int = 2) -> Model:
+    """The model of all whole texts of ``docs`` (column text), of order 2 or 3. Null texts are empty: an end alone."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     folder = f"{work.path}/model"
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     about = (text.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    bits = max(0, int(np.ceil(np.log2(max(1, about / shard_tokens)))))
-    model = Model(folder, bits, np.zeros(1 << bits, np.int64))
+    bits = max(0, int(np.ceil(np.log2(max(1, about / shard_tokens))))) + (order == 3)  # a shard's triples are about twice its pairs
+    model = Model(folder, bits, np.zeros(1 << bits, np.int64), order=order)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally()
@@ -227,7 +300,9 @@ def learn(spark: SparkSession, docs: DataFrame, work: Workspace, shard_tokens: i
 
     every = spark.range(1 << bits).select(F.col("id").alias("shard"), F.lit(b"").alias("k"), F.lit(b"").alias("c"))  # each shard has its files, if empty ones
     counted = text.mapInArrow(count_words, "shard long, k binary, c binary").unionAll(every)
-    for r in counted.groupBy("shard").applyInArrow(words_of, "shard long, n long, total long").collect():
+    with released_shuffles(spark):
+        found = counted.groupBy("shard").applyInArrow(words_of, "shard long, n long, total long").collect()
+    for r in found:
         model.sizes[r["shard"]] = r["n"]
         model.total += r["total"]
 
@@ -257,6 +332,10 @@ def learn(spark: SparkSession, docs: DataFrame, work: Workspace, shard_tokens: i
         s = key[0].as_py()
         write_array(folder, f"pairs-{s:06d}", k)
         write_array(folder, f"pair_counts-{s:06d}", c.astype("<u4"))
+        return statistics(k, c) if order == 2 else pa.table({"shard": pa.array([s], pa.int64()), "n": pa.array([len(k)], pa.int64())})
+
+    def statistics(k: np.ndarray, c: np.ndarray) -> pa.Table:
+        """A shard's part of what contexts and words have, from its pairs and their counts."""
         rows: dict[str, list] = {n: [] for n in ("words", "role", "id", "v0", "v1", "v2", "v3", "n")}
 
         def add(role: int, ids: np.ndarray, values: list[np.ndarray]) -> None:
@@ -282,8 +361,13 @@ def learn(spark: SparkSession, docs: DataFrame, work: Workspace, shard_tokens: i
 
     every = spark.range(1 << bits).select(F.col("id").alias("shard"), F.lit(b"").alias("d"), F.lit(b"").alias("x"), F.lit(b"").alias("c"))
     paired = text.mapInArrow(count_pairs, "shard long, d binary, x binary, c binary").unionAll(every)
-    parts = paired.groupBy("shard").applyInArrow(pairs_of, "words long, role int, id binary, v0 binary, v1 binary, v2 binary, v3 binary, n array<long>")
+    about_pairs = "words long, role int, id binary, v0 binary, v1 binary, v2 binary, v3 binary, n array<long>"
+    if order == 2:
+        parts = paired.groupBy("shard").applyInArrow(pairs_of, about_pairs)
+    else:
+        parts = _learn_triples(spark, text, work, model, paired.groupBy("shard").applyInArrow(pairs_of, "shard long, n long"), statistics, about_pairs)
     parts = work.table(parts, "parts")
+    work.drop("before")
     model.pair_d = discounts(np.sum([r["n"] for r in parts.where("role = 2").select("n").collect()], axis=0))  # a row for each shard
 
     sizes, pair_d = model.sizes, model.pair_d
@@ -316,15 +400,109 @@ def learn(spark: SparkSession, docs: DataFrame, work: Workspace, shard_tokens: i
     return model
 
 
+def _learn_triples(spark: SparkSession, text: DataFrame, work: Workspace, model: Model, paired: DataFrame, statistics: Callable, about_pairs: str) -> DataFrame:
+    """Steps (2a) and (2b): the triples' arrays; returns the statistics of the pairs by N(.uw)."""
+    folder, bits, base = model.folder, model.bits, U64(model.types + 1)
+    work.table(paired, "before")  # the pairs' arrays, before triples are looked up in them
+
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, vocabulary, pairs = _Tally(), Vocabulary(model), Pairs(model)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            k, c = tally.take()
+            for s, a, b in _ranges(pairs.first, (k // base).astype(np.int64)):
+                d, x = squeeze(k[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([d], pa.binary()), pa.array([x], pa.binary()), pa.array([c[a:b].astype("<u4").tobytes()], pa.binary())], ["shard", "d", "x", "c"])
+
+        for batch in batches:
+            for _, _, tokens, bounds in _tokens(batch, 0):
+                numbers = vocabulary.number(tokens)
+                pair = pairs.number(_pairs(model, numbers, bounds))
+                inner = np.ones(len(numbers), bool)
+                inner[bounds[:-1]] = False
+                at = np.flatnonzero(inner)
+                if len(at) and tally.add(pair[at - 1].astype(U64) * base + numbers[at].astype(U64)):
+                    yield from rows()
+        yield from rows()
+
+    def triples_of(key: tuple, table: pa.Table) -> pa.Table:
+        # A shard has more triples than pairs: what is not needed any more is let go at once, and the rest goes by slices.
+        s, pairs = key[0].as_py(), Pairs(model)
+        k = np.concatenate([unsqueeze(d.as_py(), x.as_py()) for d, x in zip(table.column("d"), table.column("x"))])
+        c = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("c")])
+        del table
+        turn = np.argsort(k, kind="stable")
+        k, c = k[turn], c[turn]
+        del turn
+        head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        k, c = k[head], np.add.reduceat(c, head, dtype=np.int64).astype("<u4") if len(k) else c
+        del head
+        own, word = ((k // base).astype(np.int64) - pairs.first[s]).astype("<u4"), (k % base).astype("<u4")
+        del k
+        write_array(folder, f"triple_words-{s:06d}", word)
+        write_array(folder, f"triple_counts-{s:06d}", c)
+        write_array(folder, f"triple_offsets-{s:06d}", np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(pairs.keys[s])))]).astype("<u4"))
+        last = np.empty(len(own), np.int64)
+        for a in range(0, len(own), SLICE):
+            last[a : a + SLICE] = pairs.number(pairs.keys[s][own[a : a + SLICE]] % base * base + word[a : a + SLICE].astype(U64))
+        del own, word
+        rows: dict[str, list] = {"shard": [-1], "id": [b""], "idx": [b""], "v": [b""], "vx": [b""], "n": [[int((c == i).sum()) for i in (1, 2, 3, 4)]]}
+        # A triple is in one shard alone, so the kinds of words before its last two can be added up over shards.
+        found, many = np.unique(last, return_counts=True)
+        del last
+        for t, a, b in _ranges(pairs.first, found):
+            rows["shard"].append(t), rows["n"].append(None)
+            for name, packed in (("id", shrink(np.diff(found[a:b], prepend=pairs.first[t]), "<u2")), ("v", shrink(many[a:b], "u1"))):
+                rows[name].append(packed[0]), rows[f"{name}x"].append(packed[1])
+        types = {"shard": pa.int64(), "n": pa.list_(pa.int64())}
+        out = pa.table({n: pa.array(v, types.get(n, pa.binary())) for n, v in rows.items()}).rename_columns(["shard", "id", "id_large", "v", "v_large", "n"])
+        pa.default_memory_pool().release_unused()
+        return out
+
+    shards = spark.range(1 << bits).select(F.col("id").alias("shard"))
+    every = shards.select("shard", *(F.lit(b"").alias(x) for x in ("d", "x", "c")))
+    counted = text.mapInArrow(count_triples, "shard long, d binary, x binary, c binary").unionAll(every)
+    before = work.table(counted.groupBy("shard").applyInArrow(triples_of, "shard long, id binary, id_large binary, v binary, v_large binary, n array<long>"), "before")
+    model.triple_d = discounts(np.sum([r["n"] for r in before.where("shard < 0").select("n").collect()], axis=0))  # a row for each shard
+    triple_d = model.triple_d
+
+    def kinds_of(key: tuple, table: pa.Table) -> pa.Table:
+        s = key[0].as_py()
+        load = lambda name, dtype: mapped(folder, f"{name}-{s:06d}", dtype)
+        k, count, offsets = load("pairs", "<u8"), load("pair_counts", "<u4"), load("triple_offsets", "<u4").astype(np.int64)
+        kinds = np.zeros(len(k), np.int64)
+        for i, ix, v, vx in zip(*(table.column(x) for x in ("id", "id_large", "v", "v_large"))):
+            kinds[np.cumsum(unshrink(i.as_py(), ix.as_py(), "<u2"))] += unshrink(v.as_py(), vx.as_py(), "u1")
+        del table
+        begin = k // base == base - U64(1)
+        kinds[begin] = count[begin]
+        rest, some = np.zeros(len(k)), np.flatnonzero(np.diff(offsets))
+        if len(some):
+            low = np.minimum(load("triple_counts", "<u4"), 3).astype(np.uint8)
+            for i in (1, 2, 3):
+                rest[some] += triple_d[i] * np.add.reduceat(low == i, offsets[some], dtype=np.int64)
+            rest[some] /= count[some]
+        write_array(folder, f"pair_kinds-{s:06d}", kinds.astype("<u4"))
+        write_array(folder, f"pair_rest-{s:06d}", rest.astype("<f8"))
+        return statistics(np.asarray(k), kinds)
+
+    packed = ("id", "id_large", "v", "v_large")
+    every = shards.select("shard", *(F.lit(b"").alias(x) for x in packed))
+    return before.where("shard >= 0").select("shard", *packed).unionAll(every).groupBy("shard").applyInArrow(kinds_of, about_pairs)
+
+
 class Scorer:
     """A worker's view of the model."""
 
     def __init__(self, model: Model):
-        self.model, self.vocabulary = model, Vocabulary(model)
+        self.model, self.vocabulary, self.pairs = model, Vocabulary(model), Pairs(model)
         shards = range(1 << model.bits)
         load = lambda name, dtype: [mapped(model.folder, f"{name}-{s:06d}", dtype) for s in shards]
         self.counts, self.sums, self.rest, self.before = load("counts", "<i8"), load("sums", "<f8"), load("rest", "<f8"), load("before", "<i8")
-        self.pairs, self.pair_counts = load("pairs", "<u8"), load("pair_counts", "<u4")
+        self.pair_counts = load("pair_counts", "<u4")
+        if model.order == 3:
+            self.pair_kinds, self.pair_rest = load("pair_kinds", "<u4"), load("pair_rest", "<f8")
+            self.triple_words, self.triple_counts, self.triple_offsets = load("triple_words", "<u4"), load("triple_counts", "<u4"), load("triple_offsets", "<u4")
 
     def _gather(self, arrays: list[np.ndarray], numbers: np.ndarray) -> np.ndarray:
         """The entry of each word number; 0 for -1. Numbers in ascending order."""
@@ -339,20 +517,25 @@ class Scorer:
         kinds, back = np.unique(numbers, return_inverse=True)
         return self._gather(arrays, kinds)[back]
 
-    def pair_count(self, keys: np.ndarray) -> np.ndarray:
-        kinds, back = np.unique(keys, return_inverse=True)
-        shard = _shard(mix(kinds), self.model.bits)
-        order = np.argsort(shard, kind="stable")
-        out = np.zeros(len(kinds))
-        for s, a, b in _splits(shard[order]):
-            own, have = kinds[order[a:b]], self.pairs[s]
-            if len(have):
-                at = np.searchsorted(have, own)
-                hit = np.flatnonzero(at < len(have))
-                hit = hit[have[at[hit]] == own[hit]]
-                out[order[a + hit]] = self.pair_counts[s][at[hit]]
+    def by_pair(self, arrays: list[np.ndarray], numbers: np.ndarray) -> np.ndarray:
+        """The entry of each pair number; 0 for -1."""
+        kinds, back = np.unique(numbers, return_inverse=True)
+        out, known = np.zeros(len(kinds)), int(np.searchsorted(kinds, 0))
+        for s, a, b in _ranges(self.pairs.first, kinds[known:]):
+            out[known + a : known + b] = arrays[s][kinds[known + a : known + b] - self.pairs.first[s]]
         return out[back]
 
+    def triple_count(self, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """How often each word followed the pair; all known."""
+        order = np.lexsort((word, pair))
+        out, pair, word = np.zeros(len(pair)), pair[order], word[order]
+        for s, a, b in _ranges(self.pairs.first, pair):
+            own = pair[a:b] - self.pairs.first[s]
+            at = _within(self.triple_words[s], self.triple_offsets[s][own], self.triple_offsets[s][own + 1], word[a:b])
+            hit = np.flatnonzero(at >= 0)
+            out[order[a + hit]] = self.triple_counts[s][at[hit]]
+        return out
+
     def score(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of each document."""
         m = self.model
@@ -371,11 +554,21 @@ class Scorer:
         context[1:] = numbers[:-1]
         context[bounds[:-1]] = m.types
         both = np.flatnonzero(known & (context >= 0))
-        pair = np.zeros(len(numbers))
-        pair[both] = self.pair_count(context[both].astype(U64) * U64(m.types + 1) + numbers[both].astype(U64))
+        at = np.full(len(numbers), -1, np.int64)
+        at[both] = self.pairs.number(context[both].astype(U64) * U64(m.types + 1) + numbers[both].astype(U64))
+        pair = self.by_pair(self.pair_kinds if m.order == 3 else self.pair_counts, at)
         sums, rest = self.by_word(self.sums, context), self.by_word(self.rest, context)
         upper = np.maximum(pair - m.pair_d[np.minimum(pair, 3).astype(np.int64)], 0)
         p = np.where(sums > 0, upper / np.maximum(sums, 1) + rest * lower, lower)
+        if m.order == 3:
+            # p(w|tu)
+            earlier = np.concatenate([[-1], at[:-1]])
+            earlier[bounds[:-1]] = -1
+            seen = np.flatnonzero(earlier >= 0)
+            triple, own = np.zeros(len(seen)), np.flatnonzero(known[seen])
+            triple[own] = self.triple_count(earlier[seen[own]], numbers[seen[own]])
+            upper = np.maximum(triple - m.triple_d[np.minimum(triple, 3).astype(np.int64)], 0)
+            p[seen] = upper / self.by_pair(self.pair_counts, earlier[seen]) + self.by_pair(self.pair_rest, earlier[seen]) * p[seen]
         add = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every document has a token
         return np.diff(bounds), add(known.astype(np.int64)), add(base), add(np.log10(p))
 
@@ -394,8 +587,8 @@ def scores(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's log10 probability, learned outside the fold of crc32 mod 7 = 2, beside the unigram base."""
+    """Every document's log10 probability under the model of order 3, learned outside the fold of crc32 mod 7 = 2, beside the unigram base."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = learn(spark, docs.where(~held_out("doc_id", 7, 2)), Workspace(spark, "lm"))
+    model = learn(spark, docs.where(~held_out("doc_id", 7, 2)), Workspace(spark, "lm"), order=3)
     out = scores(spark, docs, model)
     return out.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
