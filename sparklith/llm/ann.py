@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import Workspace, ship_code
@@ -124,6 +124,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def sample(base: DataFrame, drawn: Column, kinds: int) -> np.ndarray:
+    """The vectors with the TRAIN smallest hashes ``drawn`` among all rows, of equal rows one; ``kinds``: about how many hashes there are.
+
+    Hashes below a bound are half as many again; only they are ordered. The order goes by hash, so no partition is favoured.
+    """
+    share = min(1.0, 1.5 * TRAIN / kinds)
+    low = base.select(drawn.alias("h"), "v").where(F.pmod("h", F.lit(1 << 40)) <= int(share * (1 << 40)))
+    once = low.groupBy("h").agg(F.min("v").alias("v"))
+    return np.array([r[0] for r in once.orderBy("h").limit(TRAIN).select("v").collect()])
+
+
 def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int | None = None, lists: int | None = None, work: Workspace | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest vectors found for each query, nearest first, ties to the smaller id.
 
@@ -137,15 +148,12 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     work = work or Workspace(spark, "ann")
     base = usable(vectors)
     asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = base.count()
+    drawn = F.xxhash64("vec_id", "v", F.lit(3))
+    n, kinds = base.agg(F.count(F.lit(1)), F.approx_count_distinct(drawn)).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    share = min(1.0, 1.5 * TRAIN / n)
-    drawn = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
-    train = np.array([r[0] for r in base.where(drawn).select("v").limit(TRAIN).collect()])
-    if not len(train):
-        train = np.array([r[0] for r in base.select("v").limit(TRAIN).collect()])
+    train = sample(base, drawn, kinds)
     centres = kmeans(train, lists or max(1, min(MOST_LISTS, round(n**0.5))))
 
     probes = probes or probes_for(train, centres, k)

@@ -66,6 +66,21 @@ def test_repeated_rows(spark):
     assert [x[:2] for x in got[1]] == [(1, 2), (2, 2)] and [x[:2] for x in got[2]] == [(1, 1), (2, 1)]
 
 
+def test_sample_reaches_the_tail_of_a_sorted_table(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    monkeypatch.setattr(ann, "TRAIN", 1000)
+    middles = rnd.normal(size=(60, 32)) * 4
+    rows = [(i, middles[i // 100] + rnd.normal(size=32)) for i in range(6000)]
+    queries = rows[5000::20]
+    df = frame(spark, rows).orderBy("vec_id").coalesce(4)
+    want, got = brute(rows, queries, 10), result(ann.search(spark, df, frame(spark, queries), 10))
+    hits = sum(len({x[1] for x in got[q]} & {x[1] for x in want[q]}) for q in want)
+    assert hits >= 0.93 * sum(map(len, want.values()))
+    train = ann.sample(ann.usable(df), F.xxhash64("vec_id", "v", F.lit(3)), 6000)
+    kinds = {np.argmin(((middles - x) ** 2).sum(1)) for x in train}
+    assert len(train) == 1000 and kinds == set(range(60))
+
+
 def test_recall_of_the_query(spark):
     sf = "/root/testdata/sf0.1"
     table = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
