@@ -190,7 +190,8 @@ def _components(spark: SparkSession, docs: DataFrame, words: int, percent: int,
     filled = base.where("node is not null")
     # A class has one row whatever the number of its copies; the smallest id stands for it.
     lead = filled.groupBy("node").agg(F.min("doc_id").alias("lead"), F.max("n_shingles").alias("n"))
-    keyed = lead.join(filled.select("node", F.col("doc_id").alias("lead"), "keys"), ["node", "lead"]).dropDuplicates(["node"]).select("node", "n", "keys")
+    absent = F.lit(-(1 << 63))  # a class may have null ids alone
+    keyed = lead.withColumn("id", F.coalesce("lead", absent)).join(filled.select("node", F.coalesce("doc_id", absent).alias("id"), "keys"), ["node", "id"]).dropDuplicates(["node"]).select("node", "n", "keys")
     entries = keyed.select("node", "n", F.posexplode("keys").alias("band", "key"))
 
     h = F.xxhash64("node")
@@ -205,11 +206,9 @@ def _components(spark: SparkSession, docs: DataFrame, words: int, percent: int,
         roots = spark.createDataFrame([], "node binary, root binary")
         return _labelled(base, lead, roots)
 
-    wanted = members.select("node").distinct().join(lead, "node").select(F.col("lead").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = texts.join(wanted, "doc_id", "left_semi")
-    if docs.where("doc_id is null").limit(1).count():
-        chosen = chosen.unionAll(texts.where("doc_id is null"))
+    wanted = members.select("node").distinct().join(lead, "node").select(F.coalesce("lead", absent).alias("id")).distinct()
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), absent).alias("id"), "text")
+    chosen = texts.join(wanted, "id", "left_semi")
     sets = work.table(full_sets(chosen, words, lower).dropDuplicates(["node"]), "sets")
 
     # First step: chunks by themselves.

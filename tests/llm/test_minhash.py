@@ -55,6 +55,19 @@ def test_nulls_and_empty_tables(spark):
     assert minhash.keep_one(spark, frame(spark, rows), words=4).count() == 3
 
 
+def test_near_copies_with_null_ids(spark):
+    rnd = rng(3)
+    a, b = prose(rnd, 100), prose(rnd, 100)
+    near_a, near_b = near_copy(rnd, a, 1), near_copy(rnd, b, 1)
+    # Of b all rows have null ids; one near copy of a has an id.
+    rows = [(None, a), (7, near_a), (None, b), (None, near_b), (None, near_b), (9, prose(rnd, 100))]
+    got = sorted((tuple(r) for r in minhash.near_duplicates(spark, frame(spark, rows), words=4).select("doc_id", "component_id", "kept").collect()), key=repr)
+    assert got == sorted([(None, 7, False), (7, 7, True), (None, None, True), (None, None, True), (None, None, True), (9, 9, True)], key=repr)
+    kept = [tuple(r) for r in minhash.keep_one(spark, frame(spark, rows), words=4).select("doc_id", "text").collect()]
+    assert sorted(i for i, _ in kept if i is not None) == [7, 9]
+    assert len(kept) == 3 and [t for i, t in kept if i is None][0] in (b, near_b)
+
+
 def test_sketches_estimate_similarity():
     rnd = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
