@@ -1,6 +1,6 @@
 """Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark, held in sorted arrays that workers map.
 
-Words are known by their 64-bit hash. Tasks count on sorted arrays and send one packed row for each shard, so a very
+Words are known by their 64-bit hash: two words of equal hash would be one. Tasks count on sorted arrays and send one packed row for each shard, so a very
 frequent word or pair is one entry of each task. Shards are ranges of hashes; their number grows with the text, so a
 shard stays of one size. Four steps: (1) word counts, a sorted hash array a shard, whose order numbers the words;
 (2) pair counts, sharded by a hash of the pair, so that no context has a shard of its own; each shard also sums up
@@ -16,12 +16,18 @@ kinds of words before it, N(.uw), and its back-off weight. Then N(.uw) stands fo
 pairs at a text's begin, which nothing precedes: they keep c(uw).
 
 p(w|tu) = max(c(tuw) - D", 0) / c(tu) + g"(tu) p(w|u);  a text's first word has p(w|u) alone, as has any after an unseen pair.
+
+Counts are whole numbers of 64 bits, in a byte each where they are small. Maps hold no file handle, and no more than
+``MAPS`` of them are open at a time. Numbers of words and pairs have to fit a 64-bit key together; :func:`learn` says
+so where a corpus is too large for that.
 """
 
 from __future__ import annotations
 
+import mmap
 import os
-import tempfile
+import sys
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -40,6 +46,9 @@ SHARD_TOKENS, HELD = 1 << 23, 1 << 21
 #: Triples of a shard that are looked up at a time.
 SLICE = 1 << 18
 BIG = np.uint32(0xFFFFFFFF)
+#: Files of the model that a worker has mapped at most, and bytes that it holds of them where they can't be mapped.
+MAPS, HELD_BYTES = 16384, 1 << 28
+_NO_HANDLE = {"trackfd": False} if sys.version_info >= (3, 13) else {}
 
 
 def squeeze(keys: np.ndarray) -> tuple[bytes, bytes]:
@@ -57,18 +66,27 @@ def unsqueeze(d: bytes, large: bytes) -> np.ndarray:
 
 
 def shrink(x: np.ndarray, dtype: str) -> tuple[bytes, bytes]:
-    """Numbers below 2**32 in a smaller type, and those that are too large for it."""
+    """Numbers in a smaller type, and those that are too large for it."""
     most = np.iinfo(dtype).max
     large = x >= most
-    return np.where(large, most, x).astype(dtype).tobytes(), x[large].astype("<u4").tobytes()
+    return np.where(large, most, x).astype(dtype).tobytes(), x[large].astype("<i8").tobytes()
 
 
 def unshrink(d: bytes, large: bytes, dtype: str) -> np.ndarray:
     out = np.frombuffer(d, dtype).astype(np.int64)
-    out[out == np.iinfo(dtype).max] = np.frombuffer(large, "<u4")
+    out[out == np.iinfo(dtype).max] = np.frombuffer(large, "<i8")
     return out
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Counts in a byte each, then those that are too large for it in eight."""
+    return b"".join(shrink(x, "u1"))
+
+
+def unpack(b: bytes, n: int) -> np.ndarray:
+    return unshrink(b[:n], b[n:], "u1")
+
+
 def add_up(keys: list[np.ndarray], *values: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """(distinct keys in ascending order, each value summed over equal keys)."""
     k = np.concatenate(keys) if keys else np.zeros(0, U64)
@@ -116,7 +134,7 @@ def _tokens(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.n
         yield row, end, out, bounds
 
 
-def write_array(folder: str, name: str, x: np.ndarray) -> None:
+def write_array(folder: str, name: str, *parts: np.ndarray) -> None:
     """Write under a name of this attempt's own, then rename: a task that runs again leaves the same file."""
     from pyspark import TaskContext
 
@@ -124,33 +142,77 @@ def write_array(folder: str, name: str, x: np.ndarray) -> None:
     fs.create_dir(root, recursive=True)
     temporary = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}"
     with fs.open_output_stream(temporary, compression=None) as out:
-        out.write(np.ascontiguousarray(x).data)
+        for x in parts:
+            out.write(np.ascontiguousarray(x).data)
     fs.move(temporary, f"{root}/{name}")
 
 
-def mapped(folder: str, name: str, dtype: str) -> np.ndarray:
-    """An array of the shared folder, memory-mapped; from a remote store by way of a local file that is already unlinked."""
-    from pyarrow import fs as pafs
+def count_parts(x: np.ndarray) -> list[np.ndarray]:
+    """What a file of counts holds: how many do not fit a byte, where they are, what they are, and all as bytes."""
+    large = np.flatnonzero(x >= 255)
+    return [np.array([len(large)], "<i8"), large.astype("<i8"), x[large].astype("<i8"), np.minimum(x, 255).astype("u1")]
+
+
+class Counts:
+    """Counts by position, read where they lie."""
+
+    def __init__(self, raw: bytes | mmap.mmap):
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
+        self.at, self.large = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i8", n, 8 + 8 * n)
+        self.small = np.frombuffer(raw, "u1", offset=8 + 16 * n)
+
+    def __getitem__(self, at: np.ndarray | slice) -> np.ndarray:
+        out = self.small[at].astype(np.int64)
+        big = np.flatnonzero(out == 255)
+        if len(big):
+            out[big] = self.large[np.searchsorted(self.at, np.arange(len(self.small))[at][big] if isinstance(at, slice) else at[big])]
+        return out
 
-    fs, root = filesystem(folder)
-    path = f"{root}/{name}"
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-    with tempfile.NamedTemporaryFile() as local:
-        with fs.open_input_stream(path) as source:
-            while part := source.read(1 << 22):
-                local.write(part)
-        local.flush()
-        return np.memmap(local.name, dtype, "r") if local.tell() else np.zeros(0, dtype)
+
+class Files:
+    """The model's files, mapped at first use; those not asked for longest are let go beyond the bounds."""
+
+    def __init__(self, folder: str, maps: int = MAPS, held: int = HELD_BYTES):
+        self.fs, self.root = filesystem(folder)
+        self.maps, self.held, self.size = maps, held, 0
+        self.open: OrderedDict[str, bytes | mmap.mmap] = OrderedDict()
+
+    def _load(self, name: str) -> bytes | mmap.mmap:
+        from pyarrow import fs as pafs
+
+        if isinstance(self.fs, pafs.LocalFileSystem):
+            with open(f"{self.root}/{name}", "rb") as f:
+                return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_NO_HANDLE) if os.fstat(f.fileno()).st_size else b""
+        with self.fs.open_input_file(f"{self.root}/{name}") as f:  # a store that can't be mapped
+            out = f.read()
+        self.size += len(out)
+        return out
+
+    def raw(self, name: str) -> bytes | mmap.mmap:
+        if name in self.open:
+            self.open.move_to_end(name)
+        else:
+            self.open[name] = self._load(name)
+            while len(self.open) > self.maps or (self.size > self.held and len(self.open) > 1):
+                _, old = self.open.popitem(last=False)
+                self.size -= len(old) if isinstance(old, bytes) else 0
+        return self.open[name]
+
+    def array(self, name: str, shard: int, dtype: str) -> np.ndarray:
+        return np.frombuffer(self.raw(f"{name}-{shard:06d}"), dtype)
+
+    def counts(self, name: str, shard: int) -> Counts:
+        return Counts(self.raw(f"{name}-{shard:06d}"))
 
 
 @dataclass
 class Model:
-    """Where the arrays are and what holds for all of them. ``sizes``: distinct words of each shard."""
+    """Where the arrays are and what holds for all of them. ``sizes``, ``pair_sizes``: distinct words, pairs of each shard."""
 
     folder: str
     bits: int
     sizes: np.ndarray
+    pair_sizes: np.ndarray
     total: int = 0
     pair_d: np.ndarray = field(default_factory=lambda: np.zeros(4))
     word_d: np.ndarray = field(default_factory=lambda: np.zeros(4))
@@ -166,6 +228,10 @@ class Model:
     def first(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(self.sizes)])
 
+    @property
+    def first_pair(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.pair_sizes)])
+
 
 def discounts(n: np.ndarray) -> np.ndarray:
     """D for counts 0, 1, 2 and 3 or more, from the number of entries with counts 1 to 4 (Chen and Goodman 1998)."""
@@ -193,23 +259,24 @@ def _splits(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
 class Vocabulary:
     """Word numbers from the mapped arrays of hashes."""
 
-    def __init__(self, model: Model):
-        self.model = model
-        self.keys = [mapped(model.folder, f"words-{s:06d}", "<u8") for s in range(1 << model.bits)]
+    def __init__(self, model: Model, files: Files):
+        self.model, self.files, self.first = model, files, model.first
+
+    def find(self, kinds: np.ndarray) -> np.ndarray:
+        """The number of each hash, in ascending order; -1 if it is not known."""
+        out = np.full(len(kinds), -1, np.int64)
+        for s, a, b in _splits(_shard(kinds, self.model.bits)):
+            keys, own = self.files.array("words", s, "<u8"), kinds[a:b]
+            at = np.searchsorted(keys, own)
+            hit = np.flatnonzero(at < len(keys))
+            hit = hit[keys[at[hit]] == own[hit]]
+            out[a + hit] = self.first[s] + at[hit]
+        return out
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word; -1 if it is not known."""
         kinds, back = np.unique(hashes, return_inverse=True)
-        out = np.full(len(kinds), -1, np.int64)
-        first = self.model.first
-        for s, a, b in _splits(_shard(kinds, self.model.bits)):
-            keys, own = self.keys[s], kinds[a:b]
-            if len(keys):
-                at = np.searchsorted(keys, own)
-                hit = np.flatnonzero(at < len(keys))
-                hit = hit[keys[at[hit]] == own[hit]]
-                out[a + hit] = first[s] + at[hit]
-        return out[back]
+        return self.find(kinds)[back]
 
 
 def _pairs(model: Model, numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -223,24 +290,26 @@ def _pairs(model: Model, numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class Pairs:
     """Pair numbers, in the order of shards and keys, from the mapped arrays."""
 
-    def __init__(self, model: Model):
-        self.bits = model.bits
-        self.keys = [mapped(model.folder, f"pairs-{s:06d}", "<u8") for s in range(1 << model.bits)]
-        self.first = np.concatenate([[0], np.cumsum([len(k) for k in self.keys])])
+    def __init__(self, model: Model, files: Files):
+        self.bits, self.files, self.first = model.bits, files, model.first_pair
+
+    def find(self, kinds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, which of the pairs, their places in it) of the pairs that were seen. ``kinds``: distinct, ascending."""
+        shard = _shard(mix(kinds), self.bits)
+        order = np.argsort(shard, kind="stable")
+        for s, a, b in _splits(shard[order]):
+            own, have = kinds[order[a:b]], self.files.array("pairs", s, "<u8")
+            at = np.searchsorted(have, own)
+            hit = np.flatnonzero(at < len(have))
+            hit = hit[have[at[hit]] == own[hit]]
+            yield s, order[a + hit], at[hit]
 
     def number(self, keys: np.ndarray) -> np.ndarray:
         """The number of each pair; -1 if it was not seen."""
         kinds, back = np.unique(keys, return_inverse=True)
-        shard = _shard(mix(kinds), self.bits)
-        order = np.argsort(shard, kind="stable")
         out = np.full(len(kinds), -1, np.int64)
-        for s, a, b in _splits(shard[order]):
-            own, have = kinds[order[a:b]], self.keys[s]
-            if len(have):
-                at = np.searchsorted(have, own)
-                hit = np.flatnonzero(at < len(have))
-                hit = hit[have[at[hit]] == own[hit]]
-                out[order[a + hit]] = self.first[s] + at[hit]
+        for s, which, at in self.find(kinds):
+            out[which] = self.first[s] + at
         return out[back]
 
 
@@ -275,7 +344,7 @@ def learn(spark: SparkSession, docs: DataFrame, work: Workspace, shard_tokens: i
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     about = (text.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     bits = max(0, int(np.ceil(np.log2(max(1, about / shard_tokens))))) + (order == 3)  # a shard's triples are about twice its pairs
-    model = Model(folder, bits, np.zeros(1 << bits, np.int64), order=order)
+    model = Model(folder, bits, np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), order=order)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally()
@@ -283,7 +352,7 @@ def learn(spark: SparkSession, docs: DataFrame, work: Workspace, shard_tokens: i
         def rows() -> Iterator[pa.RecordBatch]:
             k, c = tally.take()
             for s, a, b in _splits(_shard(k, bits)):
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([k[a:b].tobytes()], pa.binary()), pa.array([c[a:b].astype("<u4").tobytes()], pa.binary())], ["shard", "k", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([k[a:b].tobytes()], pa.binary()), pa.array([pack(c[a:b])], pa.binary())], ["shard", "k", "c"])
 
         for batch in batches:
             for _, _, tokens, _ in _tokens(batch, 0):
@@ -292,10 +361,11 @@ def learn(spark: SparkSession, docs: DataFrame, work: Workspace, shard_tokens: i
         yield from rows()
 
     def words_of(key: tuple, table: pa.Table) -> pa.Table:
-        k, c = add_up([np.frombuffer(x, "<u8") for x in table.column("k").to_pylist()], [np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("c").to_pylist()])
+        parts = [np.frombuffer(x, "<u8") for x in table.column("k").to_pylist()]
+        k, c = add_up(parts, [unpack(x, len(p)) for x, p in zip(table.column("c").to_pylist(), parts)])
         s = key[0].as_py()
         write_array(folder, f"words-{s:06d}", k)
-        write_array(folder, f"counts-{s:06d}", c.astype("<i8"))
+        write_array(folder, f"counts-{s:06d}", *count_parts(c))
         return pa.table({"shard": [s], "n": [len(k)], "total": pa.array([int(c.sum())], pa.int64())})
 
     every = spark.range(1 << bits).select(F.col("id").alias("shard"), F.lit(b"").alias("k"), F.lit(b"").alias("c"))  # each shard has its files, if empty ones
@@ -307,7 +377,7 @@ def learn(spark: SparkSession, docs: DataFrame, work: Workspace, shard_tokens: i
         model.total += r["total"]
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, vocabulary = _Tally(), Vocabulary(model)
+        tally, vocabulary = _Tally(), Vocabulary(model, Files(folder))
 
         def rows() -> Iterator[pa.RecordBatch]:
             k, c = tally.take()
@@ -316,7 +386,7 @@ def learn(spark: SparkSession, docs: DataFrame, work: Workspace, shard_tokens: i
             k, c, shard = k[order], c[order], shard[order]
             for s, a, b in _splits(shard):
                 d, x = squeeze(k[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([d], pa.binary()), pa.array([x], pa.binary()), pa.array([c[a:b].astype("<u4").tobytes()], pa.binary())], ["shard", "d", "x", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([d], pa.binary()), pa.array([x], pa.binary()), pa.array([pack(c[a:b])], pa.binary())], ["shard", "d", "x", "c"])
 
         for batch in batches:
             for _, _, tokens, bounds in _tokens(batch, 0):
@@ -324,14 +394,16 @@ def learn(spark: SparkSession, docs: DataFrame, work: Workspace, shard_tokens: i
                     yield from rows()
         yield from rows()
 
+    if model.types + 1 >= 1 << 32:
+        raise ValueError(f"{model.types} distinct words: a pair of them does not fit a 64-bit key")
     first, base = model.first, U64(model.types + 1)
 
     def pairs_of(key: tuple, table: pa.Table) -> pa.Table:
         parts = [unsqueeze(d, x) for d, x in zip(table.column("d").to_pylist(), table.column("x").to_pylist())]
-        k, c = add_up(parts, [np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("c").to_pylist()])
+        k, c = add_up(parts, [unpack(x, len(p)) for x, p in zip(table.column("c").to_pylist(), parts)])
         s = key[0].as_py()
         write_array(folder, f"pairs-{s:06d}", k)
-        write_array(folder, f"pair_counts-{s:06d}", c.astype("<u4"))
+        write_array(folder, f"pair_counts-{s:06d}", *count_parts(c))
         return statistics(k, c) if order == 2 else pa.table({"shard": pa.array([s], pa.int64()), "n": pa.array([len(k)], pa.int64())})
 
     def statistics(k: np.ndarray, c: np.ndarray) -> pa.Table:
@@ -344,7 +416,7 @@ def learn(spark: SparkSession, docs: DataFrame, work: Workspace, shard_tokens: i
                 rows["words"].append(w), rows["role"].append(role), rows["n"].append(None)
                 rows["id"].append((ids[a:b] - first[w]).astype("<u4").tobytes())
                 for i in range(4):
-                    rows[f"v{i}"].append(values[i][a:b].astype("<u4").tobytes() if i < len(values) else b"")
+                    rows[f"v{i}"].append(pack(values[i][a:b]) if i < len(values) else b"")
 
         if len(k):
             u, w = k // base, k % base
@@ -379,14 +451,14 @@ def learn(spark: SparkSession, docs: DataFrame, work: Workspace, shard_tokens: i
         for r in table.select(["role", "id", "v0", "v1", "v2", "v3"]).to_pylist():
             at = np.frombuffer(r["id"], "<u4")
             if r["role"] == 0:
-                sums[at] += np.frombuffer(r["v0"], "<u4")
+                sums[at] += unpack(r["v0"], len(at))
                 for i in range(3):
-                    kinds[i, at] += np.frombuffer(r[f"v{i + 1}"], "<u4")
+                    kinds[i, at] += unpack(r[f"v{i + 1}"], len(at))
             elif r["role"] == 1:
-                before[at] += np.frombuffer(r["v0"], "<u4")
+                before[at] += unpack(r["v0"], len(at))
         write_array(folder, f"sums-{s:06d}", sums.astype("<f8"))
         write_array(folder, f"rest-{s:06d}", (np.tensordot(pair_d[1:], kinds, 1) / np.maximum(sums, 1)).astype("<f8"))
-        write_array(folder, f"before-{s:06d}", before.astype("<i8"))
+        write_array(folder, f"before-{s:06d}", *count_parts(before))
         own = before[: int(sizes[s])]
         found = [int((own == i).sum()) for i in (1, 2, 3, 4)] + [int((own > 2).sum()), int(own.sum())]
         return pa.table({"n": pa.array([found], pa.list_(pa.int64()))})
@@ -403,16 +475,21 @@ def learn(spark: SparkSession, docs: DataFrame, work: Workspace, shard_tokens: i
 def _learn_triples(spark: SparkSession, text: DataFrame, work: Workspace, model: Model, paired: DataFrame, statistics: Callable, about_pairs: str) -> DataFrame:
     """Steps (2a) and (2b): the triples' arrays; returns the statistics of the pairs by N(.uw)."""
     folder, bits, base = model.folder, model.bits, U64(model.types + 1)
-    work.table(paired, "before")  # the pairs' arrays, before triples are looked up in them
+    # The pairs' arrays have to be there before triples are looked up in them; what comes back is a row for each shard.
+    for r in work.table(paired, "before").collect():
+        model.pair_sizes[r["shard"]] = r["n"]
+    if (int(model.pair_sizes.sum()) + 1) * (model.types + 1) >= 1 << 64:
+        raise ValueError(f"{model.types} distinct words after {model.pair_sizes.sum()} pairs: a triple does not fit a 64-bit key")
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, vocabulary, pairs = _Tally(), Vocabulary(model), Pairs(model)
+        files = Files(folder)
+        tally, vocabulary, pairs = _Tally(), Vocabulary(model, files), Pairs(model, files)
 
         def rows() -> Iterator[pa.RecordBatch]:
             k, c = tally.take()
             for s, a, b in _ranges(pairs.first, (k // base).astype(np.int64)):
                 d, x = squeeze(k[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([d], pa.binary()), pa.array([x], pa.binary()), pa.array([c[a:b].astype("<u4").tobytes()], pa.binary())], ["shard", "d", "x", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([d], pa.binary()), pa.array([x], pa.binary()), pa.array([pack(c[a:b])], pa.binary())], ["shard", "d", "x", "c"])
 
         for batch in batches:
             for _, _, tokens, bounds in _tokens(batch, 0):
@@ -427,66 +504,66 @@ def _learn_triples(spark: SparkSession, text: DataFrame, work: Workspace, model:
 
     def triples_of(key: tuple, table: pa.Table) -> pa.Table:
         # A shard has more triples than pairs: what is not needed any more is let go at once, and the rest goes by slices.
-        s, pairs = key[0].as_py(), Pairs(model)
+        s, files = key[0].as_py(), Files(folder)
+        pairs = Pairs(model, files)
         k = np.concatenate([unsqueeze(d.as_py(), x.as_py()) for d, x in zip(table.column("d"), table.column("x"))])
-        c = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("c")])
+        c = np.concatenate([unpack(c.as_py(), len(d.as_py()) // 4) for c, d in zip(table.column("c"), table.column("d"))])
         del table
         turn = np.argsort(k, kind="stable")
         k, c = k[turn], c[turn]
         del turn
         head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        k, c = k[head], np.add.reduceat(c, head, dtype=np.int64).astype("<u4") if len(k) else c
+        k, c = k[head], np.add.reduceat(c, head) if len(k) else c
         del head
         own, word = ((k // base).astype(np.int64) - pairs.first[s]).astype("<u4"), (k % base).astype("<u4")
         del k
         write_array(folder, f"triple_words-{s:06d}", word)
-        write_array(folder, f"triple_counts-{s:06d}", c)
-        write_array(folder, f"triple_offsets-{s:06d}", np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(pairs.keys[s])))]).astype("<u4"))
-        last = np.empty(len(own), np.int64)
+        write_array(folder, f"triple_counts-{s:06d}", *count_parts(c))
+        write_array(folder, f"triple_offsets-{s:06d}", np.concatenate([[0], np.cumsum(np.bincount(own, minlength=int(model.pair_sizes[s])))]).astype("<u4"))
+        last, key_of = np.empty(len(own), np.int64), files.array("pairs", s, "<u8")
         for a in range(0, len(own), SLICE):
-            last[a : a + SLICE] = pairs.number(pairs.keys[s][own[a : a + SLICE]] % base * base + word[a : a + SLICE].astype(U64))
+            last[a : a + SLICE] = pairs.number(key_of[own[a : a + SLICE]] % base * base + word[a : a + SLICE].astype(U64))
         del own, word
-        rows: dict[str, list] = {"shard": [-1], "id": [b""], "idx": [b""], "v": [b""], "vx": [b""], "n": [[int((c == i).sum()) for i in (1, 2, 3, 4)]]}
+        rows: dict[str, list] = {"shard": [-1], "id": [b""], "large": [b""], "v": [b""], "n": [[int((c == i).sum()) for i in (1, 2, 3, 4)]]}
         # A triple is in one shard alone, so the kinds of words before its last two can be added up over shards.
         found, many = np.unique(last, return_counts=True)
         del last
         for t, a, b in _ranges(pairs.first, found):
-            rows["shard"].append(t), rows["n"].append(None)
-            for name, packed in (("id", shrink(np.diff(found[a:b], prepend=pairs.first[t]), "<u2")), ("v", shrink(many[a:b], "u1"))):
-                rows[name].append(packed[0]), rows[f"{name}x"].append(packed[1])
+            small, large = shrink(np.diff(found[a:b], prepend=pairs.first[t]), "<u2")
+            rows["shard"].append(t), rows["id"].append(small), rows["large"].append(large), rows["v"].append(pack(many[a:b])), rows["n"].append(None)
         types = {"shard": pa.int64(), "n": pa.list_(pa.int64())}
-        out = pa.table({n: pa.array(v, types.get(n, pa.binary())) for n, v in rows.items()}).rename_columns(["shard", "id", "id_large", "v", "v_large", "n"])
+        out = pa.table({n: pa.array(v, types.get(n, pa.binary())) for n, v in rows.items()})
         pa.default_memory_pool().release_unused()
         return out
 
     shards = spark.range(1 << bits).select(F.col("id").alias("shard"))
     every = shards.select("shard", *(F.lit(b"").alias(x) for x in ("d", "x", "c")))
     counted = text.mapInArrow(count_triples, "shard long, d binary, x binary, c binary").unionAll(every)
-    before = work.table(counted.groupBy("shard").applyInArrow(triples_of, "shard long, id binary, id_large binary, v binary, v_large binary, n array<long>"), "before")
+    before = work.table(counted.groupBy("shard").applyInArrow(triples_of, "shard long, id binary, large binary, v binary, n array<long>"), "before")
     model.triple_d = discounts(np.sum([r["n"] for r in before.where("shard < 0").select("n").collect()], axis=0))  # a row for each shard
     triple_d = model.triple_d
 
     def kinds_of(key: tuple, table: pa.Table) -> pa.Table:
-        s = key[0].as_py()
-        load = lambda name, dtype: mapped(folder, f"{name}-{s:06d}", dtype)
-        k, count, offsets = load("pairs", "<u8"), load("pair_counts", "<u4"), load("triple_offsets", "<u4").astype(np.int64)
+        s, files = key[0].as_py(), Files(folder)
+        k, offsets = files.array("pairs", s, "<u8"), files.array("triple_offsets", s, "<u4").astype(np.int64)
         kinds = np.zeros(len(k), np.int64)
-        for i, ix, v, vx in zip(*(table.column(x) for x in ("id", "id_large", "v", "v_large"))):
-            kinds[np.cumsum(unshrink(i.as_py(), ix.as_py(), "<u2"))] += unshrink(v.as_py(), vx.as_py(), "u1")
+        for i, large, v in zip(*(table.column(x) for x in packed)):
+            at = np.cumsum(unshrink(i.as_py(), large.as_py(), "<u2"))
+            kinds[at] += unpack(v.as_py(), len(at))
         del table
-        begin = k // base == base - U64(1)
-        kinds[begin] = count[begin]
-        rest, some = np.zeros(len(k)), np.flatnonzero(np.diff(offsets))
-        if len(some):
-            low = np.minimum(load("triple_counts", "<u4"), 3).astype(np.uint8)
-            for i in (1, 2, 3):
-                rest[some] += triple_d[i] * np.add.reduceat(low == i, offsets[some], dtype=np.int64)
-            rest[some] /= count[some]
-        write_array(folder, f"pair_kinds-{s:06d}", kinds.astype("<u4"))
-        write_array(folder, f"pair_rest-{s:06d}", rest.astype("<f8"))
+        begin = np.flatnonzero(k // base == base - U64(1))
+        kinds[begin] = files.counts("pair_counts", s)[begin]
+        write_array(folder, f"pair_kinds-{s:06d}", *count_parts(kinds))
+        # How many of a pair's followers came once and how often twice; all others came more often.
+        low, some = files.counts("triple_counts", s).small, np.flatnonzero(np.diff(offsets))
+        for i in (1, 2):
+            n = np.zeros(len(k), np.int64)
+            if len(some):
+                n[some] = np.add.reduceat(low == i, offsets[some], dtype=np.int64)
+            write_array(folder, f"pair_after{i}-{s:06d}", *count_parts(n))
         return statistics(np.asarray(k), kinds)
 
-    packed = ("id", "id_large", "v", "v_large")
+    packed = ("id", "large", "v")
     every = shards.select("shard", *(F.lit(b"").alias(x) for x in packed))
     return before.where("shard >= 0").select("shard", *packed).unionAll(every).groupBy("shard").applyInArrow(kinds_of, about_pairs)
 
@@ -495,82 +572,87 @@ class Scorer:
     """A worker's view of the model."""
 
     def __init__(self, model: Model):
-        self.model, self.vocabulary, self.pairs = model, Vocabulary(model), Pairs(model)
-        shards = range(1 << model.bits)
-        load = lambda name, dtype: [mapped(model.folder, f"{name}-{s:06d}", dtype) for s in shards]
-        self.counts, self.sums, self.rest, self.before = load("counts", "<i8"), load("sums", "<f8"), load("rest", "<f8"), load("before", "<i8")
-        self.pair_counts = load("pair_counts", "<u4")
-        if model.order == 3:
-            self.pair_kinds, self.pair_rest = load("pair_kinds", "<u4"), load("pair_rest", "<f8")
-            self.triple_words, self.triple_counts, self.triple_offsets = load("triple_words", "<u4"), load("triple_counts", "<u4"), load("triple_offsets", "<u4")
-
-    def _gather(self, arrays: list[np.ndarray], numbers: np.ndarray) -> np.ndarray:
-        """The entry of each word number; 0 for -1. Numbers in ascending order."""
-        out = np.zeros(len(numbers))
-        first = self.model.first
-        for s, a, b in _splits(np.clip(np.searchsorted(first, numbers, "right") - 1, -1, len(first) - 2)):
-            if s >= 0 and numbers[a] >= 0:
-                out[a:b] = arrays[s][numbers[a:b] - first[s]]
+        self.model, self.files = model, Files(model.folder)
+        self.vocabulary, self.pairs = Vocabulary(model, self.files), Pairs(model, self.files)
+
+    def _by_word(self, numbers: np.ndarray) -> np.ndarray:
+        """Four rows: count, N(.w), and as a context the sum and the weight left over. ``numbers``: ascending, none unknown."""
+        out, first = np.zeros((4, len(numbers))), self.model.first
+        for s, a, b in _splits(np.minimum(np.searchsorted(first, numbers, "right") - 1, len(first) - 2)):
+            at = numbers[a:b] - first[s]
+            word = at < self.model.sizes[s]  # the context before the first word is none
+            out[0, a:b][word] = self.files.counts("counts", s)[at[word]]
+            out[1, a:b] = self.files.counts("before", s)[at]
+            out[2, a:b] = self.files.array("sums", s, "<f8")[at]
+            out[3, a:b] = self.files.array("rest", s, "<f8")[at]
         return out
 
-    def by_word(self, arrays: list[np.ndarray], numbers: np.ndarray) -> np.ndarray:
-        kinds, back = np.unique(numbers, return_inverse=True)
-        return self._gather(arrays, kinds)[back]
-
-    def by_pair(self, arrays: list[np.ndarray], numbers: np.ndarray) -> np.ndarray:
-        """The entry of each pair number; 0 for -1."""
-        kinds, back = np.unique(numbers, return_inverse=True)
-        out, known = np.zeros(len(kinds)), int(np.searchsorted(kinds, 0))
-        for s, a, b in _ranges(self.pairs.first, kinds[known:]):
-            out[known + a : known + b] = arrays[s][kinds[known + a : known + b] - self.pairs.first[s]]
-        return out[back]
-
-    def triple_count(self, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """How often each word followed the pair; all known."""
-        order = np.lexsort((word, pair))
-        out, pair, word = np.zeros(len(pair)), pair[order], word[order]
-        for s, a, b in _ranges(self.pairs.first, pair):
-            own = pair[a:b] - self.pairs.first[s]
-            at = _within(self.triple_words[s], self.triple_offsets[s][own], self.triple_offsets[s][own + 1], word[a:b])
+    def _by_pair(self, kinds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each pair: what stands for its count after one word; its count, weight left over, shard and followers' places."""
+        m, get = self.model, self.files.counts
+        upper, count, rest = np.zeros((3, len(kinds)))
+        shard, lo, hi = np.full(len(kinds), -1), np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
+        for s, which, at in self.pairs.find(kinds):
+            count[which] = upper[which] = get("pair_counts", s)[at]
+            if m.order == 3:
+                upper[which] = get("pair_kinds", s)[at]
+                offsets = self.files.array("triple_offsets", s, "<u4")
+                shard[which], lo[which], hi[which] = s, offsets[at], offsets[at + 1]
+                once, twice = get("pair_after1", s)[at], get("pair_after2", s)[at]
+                more = hi[which] - lo[which] - once - twice
+                rest[which] = (m.triple_d[1] * once + m.triple_d[2] * twice + m.triple_d[3] * more) / count[which]
+        return upper, count, rest, shard, lo, hi
+
+    def _triple_count(self, shard: np.ndarray, lo: np.ndarray, hi: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """How often each word stands among the followers between lo and hi of a shard."""
+        order, out = np.argsort(shard, kind="stable"), np.zeros(len(word))
+        for s, a, b in _splits(shard[order]):
+            own = order[a:b]
+            at = _within(self.files.array("triple_words", s, "<u4"), lo[own], hi[own], word[own])
             hit = np.flatnonzero(at >= 0)
-            out[order[a + hit]] = self.triple_counts[s][at[hit]]
+            out[own[hit]] = self.files.counts("triple_counts", s)[at[hit]]
         return out
 
     def score(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of each document."""
-        m = self.model
-        numbers = self.vocabulary.number(tokens)
-        known = numbers >= 0
-        count = self.by_word(self.counts, numbers)
+        m, starts = self.model, bounds[:-1]
+        kinds, back = np.unique(tokens, return_inverse=True)
+        found = self.vocabulary.find(kinds)
+        known, stats = np.flatnonzero(found >= 0), np.zeros((4, len(kinds)))
+        stats[:, known] = self._by_word(found[known])
+        numbers = found[back]
+        count, before, sums, rest = stats[:, back]
         base = np.log10((count + 1) / (m.total + m.types + 1))
         # p(w)
-        before = self.by_word(self.before, numbers)
         total = max(m.word_n[3], 1.0)
         d = m.word_d[np.minimum(before, 3).astype(np.int64)]
-        rest = (m.word_d[1:] @ m.word_n[:3]) / total if m.word_n[3] else 1.0
-        lower = np.maximum(before - d, 0) / total + rest / (m.types + 1)
-        # p(w|u)
-        context = np.empty(len(numbers), np.int64)
-        context[1:] = numbers[:-1]
-        context[bounds[:-1]] = m.types
-        both = np.flatnonzero(known & (context >= 0))
-        at = np.full(len(numbers), -1, np.int64)
-        at[both] = self.pairs.number(context[both].astype(U64) * U64(m.types + 1) + numbers[both].astype(U64))
-        pair = self.by_pair(self.pair_kinds if m.order == 3 else self.pair_counts, at)
-        sums, rest = self.by_word(self.sums, context), self.by_word(self.rest, context)
+        over = (m.word_d[1:] @ m.word_n[:3]) / total if m.word_n[3] else 1.0
+        lower = np.maximum(before - d, 0) / total + over / (m.types + 1)
+        # p(w|u): the context of a token is the token before it
+        opening = self._by_word(np.array([m.types]))[:, 0]
+        context, sums, rest = (np.concatenate([x[:1], x[:-1]]) for x in (numbers, sums, rest))
+        context[starts], sums[starts], rest[starts] = m.types, opening[2], opening[3]
+        both = np.flatnonzero((numbers >= 0) & (context >= 0))
+        pairs, back = np.unique(context[both].astype(U64) * U64(m.types + 1) + numbers[both].astype(U64), return_inverse=True)
+        of_pairs = self._by_pair(pairs)
+        pair = np.zeros(len(numbers))
+        pair[both] = of_pairs[0][back]
         upper = np.maximum(pair - m.pair_d[np.minimum(pair, 3).astype(np.int64)], 0)
         p = np.where(sums > 0, upper / np.maximum(sums, 1) + rest * lower, lower)
         if m.order == 3:
-            # p(w|tu)
+            # p(w|tu): the pair that ends with the token before
+            at = np.full(len(numbers), -1, np.int64)
+            at[both] = np.where(of_pairs[1][back] > 0, back, -1)
             earlier = np.concatenate([[-1], at[:-1]])
-            earlier[bounds[:-1]] = -1
+            earlier[starts] = -1
             seen = np.flatnonzero(earlier >= 0)
-            triple, own = np.zeros(len(seen)), np.flatnonzero(known[seen])
-            triple[own] = self.triple_count(earlier[seen[own]], numbers[seen[own]])
+            _, count, rest, *places = (x[earlier[seen]] for x in of_pairs)
+            triple, own = np.zeros(len(seen)), np.flatnonzero(numbers[seen] >= 0)
+            triple[own] = self._triple_count(*(x[own] for x in places), numbers[seen[own]])
             upper = np.maximum(triple - m.triple_d[np.minimum(triple, 3).astype(np.int64)], 0)
-            p[seen] = upper / self.by_pair(self.pair_counts, earlier[seen]) + self.by_pair(self.pair_rest, earlier[seen]) * p[seen]
-        add = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every document has a token
-        return np.diff(bounds), add(known.astype(np.int64)), add(base), add(np.log10(p))
+            p[seen] = upper / count + rest * p[seen]
+        add = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every document has a token
+        return np.diff(bounds), add((numbers >= 0).astype(np.int64)), add(base), add(np.log10(p))
 
 
 def scores(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
