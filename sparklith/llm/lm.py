@@ -97,26 +97,29 @@ def add_up(keys: list[np.ndarray], *values: list[np.ndarray]) -> tuple[np.ndarra
 
 
 class _Tally:
-    """Counts of keys, merged now and then."""
+    """Counts of keys. Keys are held as they come and counted by one sort when there are many."""
 
     def __init__(self):
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.size = 0
+        self.raw: list[np.ndarray] = []
+        self.held = 0
+        self.keys, self.counts = np.zeros(0, U64), np.zeros(0, np.int64)
+
+    def _fold(self) -> None:
+        k, c = np.unique(np.concatenate(self.raw), return_counts=True) if self.raw else (np.zeros(0, U64), np.zeros(0, np.int64))
+        self.keys, self.counts = add_up([self.keys, k], [self.counts, c]) if len(self.keys) else (k, c)
+        self.raw, self.held = [], 0
 
     def add(self, keys: np.ndarray) -> bool:
-        """Count keys; true if there is so much that it should be sent."""
-        k, c = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(c)
-        self.size += len(k)
-        if self.size > HELD:
-            k, c = add_up(self.keys, self.counts)
-            self.keys, self.counts, self.size = [k], [c], len(k)
-        return self.size > HELD // 2
+        """Count keys; true if there are so many distinct ones that they should be sent."""
+        self.raw.append(keys)
+        self.held += len(keys)
+        if self.held > HELD:
+            self._fold()
+        return len(self.keys) > HELD // 2
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
-        k, c = add_up(self.keys, self.counts)
+        self._fold()
+        k, c = self.keys, self.counts
         self.__init__()
         return k, c
 
