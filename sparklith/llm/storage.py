@@ -1,7 +1,12 @@
-"""Shared workspace: intermediate tables and files that every executor and the driver can see."""
+"""Shared workspace: intermediate tables and files that every executor and the driver can see.
+
+What a query returns may still read its workspace, so a workspace lasts until :meth:`Workspace.drop`, :func:`release`
+or the end of the driver.
+"""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -12,6 +17,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_LIVE: dict[str, Workspace] = {}
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -24,16 +30,42 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, one machine), a folder of our own."""
+    """The folder in ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, a folder of our own: on one machine alone (a ``local`` master, as in tests). On a cluster it is
+    an error, as no executor would see another one's files.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="sparklith-"))
-            spark.sparkContext.setCheckpointDir(_OWN[0])
-        root = "file://" + _OWN[0]
+        context = spark.sparkContext
+        if (set_ := context._jsc.sc().getCheckpointDir()).isDefined():
+            root = set_.get()
+        elif not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        else:
+            if not _OWN:
+                _OWN.append(tempfile.mkdtemp(prefix="sparklith-"))
+            root = "file://" + _OWN[0]
     return root.rstrip("/")
 
 
+def release() -> None:
+    """Delete all workspaces of this driver. Tables that a query returned can't be read any more."""
+    for work in list(_LIVE.values()):
+        work.drop()
+
+
+@atexit.register
+def _at_exit() -> None:
+    try:
+        release()
+    except Exception:  # the driver's JVM may be gone by now
+        _LIVE.clear()
+    for root in _OWN:
+        if os.path.isdir(root) and not os.listdir(root):
+            os.rmdir(root)
+
+
 @contextmanager
 def released_shuffles(spark: SparkSession) -> Iterator[None]:
     """Queries that run within remove their shuffle files at their end, not when the driver happens to collect garbage.
@@ -56,6 +88,7 @@ class Workspace:
         ship_code(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        _LIVE[self.path] = self
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return the table that was written."""
@@ -68,6 +101,8 @@ class Workspace:
         """Delete one table, or everything; nothing that is still to be computed may read it."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        if not name:
+            _LIVE.pop(self.path, None)
 
 
 def filesystem(uri: str):
