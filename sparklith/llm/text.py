@@ -1,7 +1,10 @@
 """Vectorised words and rolling hashes over Arrow string columns.
 
 Words are maximal runs of bytes other than space and ``\\x09-\\x0D``. A word's hash is a polynomial over a random
-64-bit value for each byte, from prefix sums, then mixed; so no Python object is made for a word.
+64-bit value for each byte, from prefix sums, then mixed; so no Python object is made for a word. What takes eight bytes
+for a byte of text is held for ``BLOCK`` bytes at a time only, so a very long text takes a few times its own size.
+
+Two words of equal hash count as one word everywhere: among n distinct words that is about n * n / 2**65 pairs of words.
 """
 
 from __future__ import annotations
@@ -103,24 +106,39 @@ class Words:
         self.data, self.offsets = data, offsets
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.start, offsets)
-        power, self._inverse = _powers(BASE, n + 1)
-        self._total = np.empty(n + 1, U64)
-        self._total[0] = 0
-        np.cumsum((folded if lower else exact)[data] * power[:n], out=self._total[1:])
+        self._values = folded if lower else exact
         self._rehash()
 
     def _rehash(self) -> None:
-        h = (self._total[self.end] - self._total[self.start]) * self._inverse[self.start]
-        self.hash = mix(h + (self.end - self.start).astype(U64) * U64(0x2545F4914F6CDD1D))
+        start, end = self.start, self.end
+        self.hash, i = np.empty(len(start), U64), 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, "right")))
+            a, z = int(start[i]), int(end[j - 1])
+            if z - a <= BLOCK:
+                total, inverse = self._sums(a, z)
+                h = (total[end[i:j] - a] - total[start[i:j] - a]) * inverse[start[i:j] - a]
+            else:  # one word that is longer than a block
+                h = sum((self._sums(at, min(at + BLOCK, z))[0][-1:] * U64(pow(BASE, at - a, 1 << 64)) for at in range(a, z, BLOCK)), np.zeros(1, U64))
+            self.hash[i:j] = mix(h + (end[i:j] - start[i:j]).astype(U64) * U64(0x2545F4914F6CDD1D))
+            i = j
+
+    def _sums(self, a: int, z: int) -> tuple[np.ndarray, np.ndarray]:
+        """(prefix sums of the polynomial over the bytes a to z, inverse powers)."""
+        power, inverse = _powers(BASE, z - a + 1)
+        total = np.empty(z - a + 1, U64)
+        total[0] = 0
+        np.cumsum(self._values[self.data[a:z]] * power[: z - a], out=total[1:])
+        return total, inverse
 
     def split_tails(self) -> None:
         """Make the ASCII punctuation that closes a word after an ASCII letter a word of its own, but not in words with ``<``."""
-        mark = _punctuation()[self.data]
-        solid = np.maximum.accumulate(np.where(mark, 0, np.arange(len(mark))))
-        tail = np.maximum(solid[self.end - 1] + 1, self.start)
+        solid = np.flatnonzero(~_punctuation()[self.data])
+        before = np.searchsorted(solid, self.end)  # how many bytes before the end are no marks
+        tail = np.maximum(np.where(before > 0, solid[np.maximum(before - 1, 0)] + 1 if len(solid) else 0, 0), self.start)
         letter = self.data[np.maximum(tail - 1, 0)] | 0x20
-        angle = np.concatenate([[0], np.cumsum(self.data == 0x3C)])
-        cut = (tail > self.start) & (tail < self.end) & (letter >= 97) & (letter <= 122) & (angle[self.end] == angle[self.start])
+        angle = np.flatnonzero(self.data == 0x3C)
+        cut = (tail > self.start) & (tail < self.end) & (letter >= 97) & (letter <= 122) & (np.searchsorted(angle, self.end) == np.searchsorted(angle, self.start))
         at = np.flatnonzero(cut)
         shift = np.concatenate([[0], np.cumsum(cut)])
         end = self.end.copy()
