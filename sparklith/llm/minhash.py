@@ -6,11 +6,15 @@ rounds end when all bins are full, and the last t rounds fill every bin for cert
 with a probability equal to their similarity, with concentration bounds as for independent minima.
 
 Documents with equal sets are one class. Classes that share a band of coordinates meet in a bucket, where full sets
-are compared: each class counts its common shingles, through an inverted index, with the classes it is not connected
-with yet, which gives a spanning forest of the links, not all pairs. Buckets larger than a
-chunk are dealt into chunks. What a chunk cannot see, links across chunks, is found in a second step in which the
-members outside the bucket's largest component are compared with every chunk. Buckets whose members are in one
-component already are left out, and buckets with equal members are one bucket.
+are compared by prefixes: in one order of all shingles, rare ones first, two sets of similarity p share a shingle among
+the first (1 - p) n + 1 of each; who shares none is not compared. A class is compared with those alone that it is not
+connected with yet, which gives a spanning forest of the links, not all pairs. Buckets larger than a chunk are dealt
+into chunks. What a chunk cannot see, links across chunks, is found in a second step: a member outside the bucket's
+largest component goes to those chunks where a member of another component has a shingle of its prefix. Buckets whose
+members are in one component already are left out, and buckets with equal members are one bucket.
+
+A set is known by 128 bits made from its shingles' hashes, a shingle by 64 bits, a word by 64 bits: what is equal in
+these counts as equal.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ T, BANDS = 128, 32
 CHUNK, CHUNK_SHINGLES = 2048, 1 << 21
 #: Bands of the first step; the second step takes all others.
 FIRST = 4
+#: Counters that tell frequent shingles from rare ones. They shape prefixes, not results.
+COUNTERS = 1 << 16
 _FULL = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -106,38 +112,91 @@ def full_sets(docs: DataFrame, n: int, lower: bool = True) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "node binary, items binary")
 
 
+def prefix_sizes(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """How many first shingles of a set, in one order of all, any set of ``percent`` similarity has to share one of."""
+    return sizes - -(-percent * sizes // 100) + 1
+
+
 def forest(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that, with the given groups, connect all that any links connect; a link: similarity of at least percent/100.
 
-    Members of one group are connected already. Every member outside the largest group is compared, through an
-    inverted index of shingles, with all members that it is not connected with yet.
+    Members of one group are connected already. Every member outside the largest group is compared with all members
+    that share a shingle of its prefix, are near in size, and that it is not connected with yet. No set is empty.
     """
     m = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, m)
-    everything, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
-    order = np.argsort(everything, kind="stable")
-    items, owners = everything[order], owner[order]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    _, kind, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    owner = np.repeat(np.arange(m), sizes)
+    items = np.sort(owner * len(count) + rank[kind]) % len(count)  # each set's shingles, rare ones first
+    first = np.arange(len(items)) - bounds[owner] < prefix_sizes(sizes, percent)[owner]
+    prefix, holder = items[first], owner[first]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(holder, minlength=m))])
+    order = np.argsort(prefix, kind="stable")
+    by_item, holders = prefix[order], holder[order]
     label = np.unique(group, return_inverse=True)[1]
     asks = np.flatnonzero(label != np.argmax(np.bincount(label)))
     left = int(label.max()) + 1  # components
-    links: list[tuple[int, int]] = []
+    own, links = np.zeros(len(count), bool), []
     for i in asks.tolist():
         if left == 1:
             break
-        lo, hi = np.searchsorted(items, sets[i], "left"), np.searchsorted(items, sets[i], "right")
-        span = hi - lo
-        ends = np.cumsum(span)
-        who = owners[np.arange(ends[-1]) + np.repeat(lo - (ends - span), span)]
-        common = np.bincount(who, minlength=m)
-        near = np.flatnonzero((common > 0) & (100 * common >= percent * (sizes + sizes[i] - common)) & (label != label[i]))
-        merged, first = np.unique(label[near], return_index=True)
+        mine = prefix[ends[i] : ends[i + 1]]
+        who = np.unique(holders[_ranges(np.searchsorted(by_item, mine, "left"), np.searchsorted(by_item, mine, "right"))])
+        who = who[(label[who] != label[i]) & (percent * sizes[i] <= 100 * sizes[who]) & (percent * sizes[who] <= 100 * sizes[i])]
+        if not len(who):
+            continue
+        own[items[bounds[i] : bounds[i + 1]]] = True
+        hits = own[items[_ranges(bounds[who], bounds[who + 1])]]
+        own[items[bounds[i] : bounds[i + 1]]] = False
+        common = np.add.reduceat(hits, np.cumsum(sizes[who]) - sizes[who], dtype=np.int64)
+        near = who[100 * common >= percent * (sizes[who] + sizes[i] - common)]
+        merged, at = np.unique(label[near], return_index=True)
         if len(merged):
-            links += [(i, int(near[k])) for k in first]
+            links += [(i, int(near[k])) for k in at]
             label[np.isin(label, merged)] = label[i]
             left -= len(merged)
     return links
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """lo[0] .. hi[0] - 1, lo[1] .. hi[1] - 1, and so on."""
+    span = hi - lo
+    ends = np.cumsum(span)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - span), span)
+
+
+def _slots(x: np.ndarray) -> np.ndarray:
+    return (mix(x) >> U64(48)).astype(np.int64) % COUNTERS
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``node, item``: the shingles of each set's prefix in the order of rareness, by ``COUNTERS`` counters, and hash."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(total, _slots(np.frombuffer(x.as_py(), U64)), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+    often = np.zeros(COUNTERS, np.int64)
+    for r in sets.select("items").mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # COUNTERS rows at most
+        often[r["slot"]] = r["n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, items in zip(batch.column(0), batch.column(1)):
+                x = np.frombuffer(items.as_py(), U64)
+                first = x[np.lexsort((x, often[_slots(x)]))][: int(prefix_sizes(np.array(len(x)), percent))]
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(first), pa.binary()), pa.array(first.view(np.int64))], ["node", "item"])
+
+    return sets.select("node", "items").mapInArrow(run, "node binary, item long")
+
+
 def _links_within(groups: DataFrame, percent: int) -> DataFrame:
     """``a, b`` from rows (bucket, chunk, node, root, items): the forest of each (bucket, chunk)."""
 
@@ -188,11 +247,10 @@ def _components(spark: SparkSession, docs: DataFrame, words: int, percent: int,
     work = work or Workspace(spark, "minhash")
     base = work.table(signatures(docs, words, lower), "signatures")
     filled = base.where("node is not null")
-    # A class has one row whatever the number of its copies; the smallest id stands for it.
-    lead = filled.groupBy("node").agg(F.min("doc_id").alias("lead"), F.max("n_shingles").alias("n"))
+    # A class has one row whatever the number of its copies; the smallest id stands for it. Copies have equal keys.
+    lead = work.table(filled.groupBy("node").agg(F.min("doc_id").alias("lead"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
     absent = F.lit(-(1 << 63))  # a class may have null ids alone
-    keyed = lead.withColumn("id", F.coalesce("lead", absent)).join(filled.select("node", F.coalesce("doc_id", absent).alias("id"), "keys"), ["node", "id"]).dropDuplicates(["node"]).select("node", "n", "keys")
-    entries = keyed.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    entries = lead.select("node", "n", F.posexplode("keys").alias("band", "key"))
 
     h = F.xxhash64("node")
     size = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(0xFFFFFFFFFF)).alias("y"), F.min("band").alias("band"))
@@ -204,7 +262,7 @@ def _components(spark: SparkSession, docs: DataFrame, words: int, percent: int,
     members = work.table(members, "members")
     if members.isEmpty():
         roots = spark.createDataFrame([], "node binary, root binary")
-        return _labelled(base, lead, roots)
+        return _labelled(base, lead, roots, work)
 
     wanted = members.select("node").distinct().join(lead, "node").select(F.coalesce("lead", absent).alias("id")).distinct()
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), absent).alias("id"), "text")
@@ -217,31 +275,37 @@ def _components(spark: SparkSession, docs: DataFrame, words: int, percent: int,
     links = work.table(_links_within(first, percent), "links-1")
     roots = components(links, work, "roots-1")
 
-    # Second step: what is still in several components, but for early buckets that one chunk has seen whole.
+    # Second step: what is still in several components, but for early buckets that one chunk has seen whole. What is
+    # counted for a bucket is written before it is joined, so that Spark can split the join of a bucket with many members.
     open_ = members.where("not (early and parts = 1)").join(roots.withColumnRenamed("root", "r"), "node", "left")
-    open_ = open_.select("bucket", "parts", "node", F.coalesce("r", "node").alias("root"))
+    open_ = work.table(open_.select("bucket", "parts", "node", F.coalesce("r", "node").alias("root")), "open")
     tally = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root")).alias("top"))
-    live = open_.join(tally.where("roots > 1").select("bucket", F.col("top.root").alias("top")), "bucket")
-    # A member outside the largest component goes to every chunk of its bucket, as do all links it may have.
-    dealt = live.select(
-        "bucket",
-        "node",
-        "root",
-        F.explode(F.when((F.col("root") != F.col("top")) & (F.col("parts") > 1), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).otherwise(F.lit(0))))).alias("chunk"),
-    )
+    tally = work.table(tally.where("roots > 1").select("bucket", F.col("top.root").alias("top")), "tally")
+    chunk = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(0)).cast("long").alias("chunk")
+    live = work.table(open_.join(tally, "bucket").select("bucket", "node", "root", "top", "parts", chunk), "live")
+    dealt, home = live.select("bucket", "node", "root", "chunk"), live.where("parts > 1")
+    if not home.isEmpty():
+        held = work.table(home.join(prefixes(sets.join(home.select("node").distinct(), "node", "left_semi"), percent), "node"), "held")
+        holders = work.table(held.groupBy("bucket", "item", "chunk").agg(F.min("root").alias("r0"), F.max("root").alias("r1")), "holders")
+        asks = held.where("root <> top").select("bucket", "item", "node", "root")
+        calls = asks.join(holders, ["bucket", "item"]).where("root <> r0 or root <> r1").select("bucket", "node", "root", "chunk")
+        dealt = dealt.unionAll(calls).distinct()
     more = work.table(_links_within(dealt.join(sets, "node"), percent), "links-2")
     final = components(links.unionAll(more), work, "roots-2")
-    for name in ("members", "sets", "links-1", "links-2"):
+    for name in ("members", "sets", "links-1", "links-2", "open", "tally", "live", "held", "holders"):
         work.drop(name)
-    return _labelled(base, lead, final)
+    return _labelled(base, lead, final, work)
 
 
-def _labelled(base: DataFrame, lead: DataFrame, roots: DataFrame) -> DataFrame:
-    """Each row with the smallest doc_id of its component."""
-    linked = lead.select("node", "lead").join(roots, "node").select("node", "lead", "root")
-    least = linked.groupBy("root").agg(F.min("lead").alias("component"))
+def _labelled(base: DataFrame, lead: DataFrame, roots: DataFrame, work: Workspace) -> DataFrame:
+    """Each row with the smallest doc_id of its component. Each join has a plain table on both sides, so that Spark can split it."""
+    linked = work.table(lead.select("node", "lead").join(roots, "node").select("node", "lead", "root"), "linked")
+    least = work.table(linked.groupBy("root").agg(F.min("lead").alias("component")), "least")
     label = linked.join(least, "root").select("node", "component", "root")
     of = lead.select("node", "lead").join(label, "node", "left").select("node", F.coalesce("component", "lead").alias("component"), F.coalesce("root", "node").alias("root"))
+    of = work.table(of, "labels")
+    for name in ("linked", "least", "classes"):
+        work.drop(name)
     out = base.join(of, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "h", "n_shingles", "root", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -93,3 +93,40 @@ def test_sets_are_those_of_the_contract():
     for _, _, data, offsets in blocks(pa.array(texts)):
         x, bounds = shingle_sets(Words(data, offsets, True), 4)
         assert np.diff(bounds).tolist() == [len(shingles(t, 4)) for t in texts]
+
+
+def test_forest_connects_what_all_pairs_connect():
+    rnd = np.random.default_rng(2)
+    for trial in range(30):
+        sets = []
+        for _ in range(rnd.integers(2, 9)):
+            base = rnd.integers(0, 300, rnd.integers(1, 60)).astype(np.uint64)
+            for _ in range(rnd.integers(1, 6)):
+                sets.append(np.unique(np.where(rnd.random(len(base)) < 0.1, rnd.integers(0, 300, len(base)).astype(np.uint64), base)))
+        group = rnd.integers(0, len(sets), len(sets)) if trial % 2 else np.arange(len(sets))
+
+        def joined(links):
+            label = group.copy()
+            for i, j in links:
+                label[label == label[j]] = label[i]
+            return {frozenset(np.flatnonzero(label == x).tolist()) for x in label}
+
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+        found = minhash.forest(sets, group, 80)
+        assert set(map(frozenset, found)) <= set(map(frozenset, pairs))
+        assert joined(found) == joined(pairs)
+
+
+def test_unlinked_members_of_a_hot_bucket(spark, monkeypatch):
+    """Texts of one template, too different to be linked, with some linked pairs among them that chunks keep apart."""
+    rnd = rng(12)
+    template = prose(rnd, 100).split(" ")
+    rows = []
+    for i in range(60):
+        own = [f"{x}" if rnd.random() > 0.04 else f"y{rnd.randrange(10**6)}" for x in template]
+        rows.append((len(rows), " ".join(own)))
+        if i % 5 == 0:
+            rows.append((len(rows), near_copy(rnd, rows[-1][1], 2)))
+    monkeypatch.setattr(minhash, "CHUNK", 4)
+    monkeypatch.setattr(minhash, "FIRST", 1)
+    assert result(minhash.near_duplicates(spark, frame(spark, rows), words=4, percent=80)) == components(rows, 4, 80)
