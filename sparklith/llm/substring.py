@@ -6,14 +6,18 @@ the window is, at the same offset; so a window whose run stands at one place onl
 are repeated are extended to twice the length. At length n a window stands for itself. Neighbouring windows share
 their smallest run, so a level looks at a fraction of all runs and yet loses no repeated window.
 
-A row is known by its doc_id and a hash of its text. After the first level only the word hashes of regions with
-surviving windows are carried on. Runs are counted with partial aggregation and joined back by hash, so that a
-passage that stands in very many documents is no single task's work.
+Equal texts are one class, known by two 64-bit hashes of the text. After the first level only one row of a class is
+carried on, with a weight of two if there are more; so copies, however many, are looked at once. Of it the word hashes of
+regions with surviving windows are kept. Runs are counted with partial aggregation and joined back by hash, so that a
+passage that stands in very many documents is no single task's work. What is read twice is written first.
+
+Runs are compared by hashes: 64 bits up to the last level, which can only let a window through to the next one, and
+there 128 bits made from the words' 64-bit hashes. Two different words of equal hash would be one word.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,8 @@ from pyspark.sql import functions as F
 from .storage import Workspace, ship_code
 from .text import U64, Words, blocks, mix, rolling
 
-KEY = ["id", "h"]
+KEY = ["h", "g"]
+REGION = "h long, g long, w int, first long, words binary, live binary"
 _LOW = U64(0xFFFFFFFF)
 
 
@@ -55,12 +60,14 @@ def _starts(bounds: np.ndarray, n: int) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(bounds[:-1] - (ends - room), room)
 
 
-def _key_columns() -> tuple[F.Column, F.Column]:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h")
+def _key_columns(text: F.Column) -> tuple[F.Column, F.Column]:
+    """Two hashes of a text."""
+    return F.xxhash64(text).alias("h"), F.xxhash64(F.lit(0x35), text).alias("g")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(*_key_columns(), F.col("text").cast("string").alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(*_key_columns(text), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), text.alias("text"))
 
 
 def _batch(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
@@ -68,11 +75,11 @@ def _batch(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
 
 
 def _first_level(keyed: DataFrame, n: int, length: int) -> DataFrame:
-    """``run, id, h, at``: the smallest runs of all windows of all texts."""
+    """``run, h, g, at``: the smallest runs of all windows of all texts, from (h, g, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hs = (batch.column(j).to_numpy(zero_copy_only=False) for j in (0, 1))
+            hs, gs = (batch.column(j).to_numpy(zero_copy_only=False) for j in (0, 1))
             for row, _, data, offsets in blocks(batch.column(2)):
                 words = Words(data, offsets)
                 live = _starts(words.bounds, n)
@@ -81,46 +88,41 @@ def _first_level(keyed: DataFrame, n: int, length: int) -> DataFrame:
                 h, at = runs(words.hash, live, n, length)
                 at = np.unique(at)
                 doc = np.searchsorted(words.bounds, at, "right") - 1
-                yield _batch({"run": h[at].view(np.int64), "id": ids[row + doc], "h": hs[row + doc], "at": (at - words.bounds[doc]).astype(np.int32)})
+                yield _batch({"run": h[at].view(np.int64), "h": hs[row + doc], "g": gs[row + doc], "at": (at - words.bounds[doc]).astype(np.int32)})
 
-    return keyed.mapInArrow(run, "run long, id long, h long, at int")
+    return keyed.select(*KEY, "text").mapInArrow(run, "run long, h long, g long, at int")
 
 
-def _hits(found: DataFrame, by: list[str], work: Workspace, name: str) -> DataFrame:
-    """The rows of ``found`` whose run stands at more than one position in all.
+def _repeated(found: DataFrame, by: list[str], weight: F.Column, gather: Callable[[str], F.Column], work: Workspace, name: str) -> DataFrame:
+    """``h, g, at``: for each text, the positions, as ``gather`` brings them together, of those of its runs that stand at more than one place in all.
 
     The repeated runs are written first. Both sides of the join are then plain shuffles, which Spark splits where one
     run has very many rows; an aggregate on one side would keep them in one task.
     """
-    many = work.table(found.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), name)
-    return found.join(many, by, "left_semi")
-
-
-def _repeated(found: DataFrame, by: list[str], place: list[str], work: Workspace, name: str) -> DataFrame:
-    """For each place, the positions ``at`` whose run stands at more than one position in all."""
-    return _hits(found, by, work, name).groupBy(*place).agg(F.collect_set("at").alias("at"))
+    many = work.table(found.groupBy(*by).agg(F.sum(weight).alias("c")).where("c > 1").drop("c"), name)
+    return found.join(many, by, "left_semi").groupBy(*KEY).agg(gather("at").alias("at"))
 
 
 def _regions(texts: DataFrame, n: int, length: int) -> DataFrame:
-    """``id, h, first, words, live`` from (id, h, text, at): word hashes of the regions that surviving windows cover."""
+    """``h, g, w, first, words, live`` from (h, g, w, text, at): word hashes of the regions that surviving windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hs = (batch.column(j).to_numpy(zero_copy_only=False) for j in (0, 1))
-            lists = batch.column(3)
-            for row, end, data, offsets in blocks(batch.column(2)):
+            own = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(3)]
+            lists = batch.column(4)
+            for row, end, data, offsets in blocks(batch.column(3)):
                 words = Words(data, offsets)
                 known = np.zeros(len(words), bool)
                 for i in range(end - row):
                     known[words.bounds[i] + lists[row + i].values.to_numpy(zero_copy_only=False)] = True
                 live = _starts(words.bounds, n)
                 if len(live):
-                    yield from _cut(words.hash, words.bounds, live, known, n, length, ids[row:end], hs[row:end], np.zeros(end - row, np.int64))
+                    yield from _cut(words.hash, words.bounds, live, known, n, length, [x[row:end] for x in own], np.zeros(end - row, np.int64))
 
-    return texts.mapInArrow(run, "id long, h long, first long, words binary, live binary")
+    return texts.select(*KEY, "w", "text", "at").mapInArrow(run, REGION)
 
 
-def _cut(words, bounds, live, known, n, length, ids, hs, firsts) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+def _cut(words, bounds, live, known, n, length, own, firsts) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     """The regions of windows in ``live`` whose smallest run is ``known``."""
     _, at = runs(words, live, n, length)
     live = live[known[at]]
@@ -135,8 +137,7 @@ def _cut(words, bounds, live, known, n, length, ids, hs, firsts) -> Iterator[pa.
     d = doc[head]
     yield _batch(
         {
-            "id": ids[d],
-            "h": hs[d],
+            **{name: x[d] for name, x in zip((*KEY, "w"), own)},
             "first": firsts[d] + start - bounds[d],
             "words": pa.array([words[a:b].tobytes() for a, b in zip(start, stop)], pa.binary()),
             "live": pa.array([np.packbits(flag[a:b]).tobytes() for a, b in zip(start, stop)], pa.binary()),
@@ -158,7 +159,7 @@ def _pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
 
 
 def _next_level(regions: DataFrame, n: int, length: int) -> DataFrame:
-    """``run, run2, id, h, first, at``: the smallest runs of the surviving windows; two hashes make 128 bits."""
+    """``run, run2, h, g, w, at``: the smallest runs of the surviving windows, by the place of their first word in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -170,47 +171,58 @@ def _next_level(regions: DataFrame, n: int, length: int) -> DataFrame:
                 at = np.unique(at)
                 again = rolling(mix(words ^ U64(0x5851F42D4C957F2D)), length)
                 doc = np.searchsorted(bounds, at, "right") - 1
-                own = [batch.column(k).to_numpy(zero_copy_only=False)[doc] for k in ("id", "h", "first")]
-                yield _batch({"run": h[at].view(np.int64), "run2": again[at].view(np.int64), "id": own[0], "h": own[1], "first": own[2], "at": (at - bounds[doc]).astype(np.int32)})
+                own = {k: batch.column(k).to_numpy(zero_copy_only=False)[doc] for k in (*KEY, "w", "first")}
+                place = (own.pop("first") + at - bounds[doc]).astype(np.int32)
+                yield _batch({"run": h[at].view(np.int64), "run2": again[at].view(np.int64), **own, "at": place})
 
-    return regions.mapInArrow(run, "run long, run2 long, id long, h long, first long, at int")
+    return regions.mapInArrow(run, "run long, run2 long, h long, g long, w int, at int")
 
 
 def _shrunk(regions: DataFrame, n: int, length: int) -> DataFrame:
-    """The regions that are left, from regions with the positions ``at`` of repeated runs."""
+    """The regions that are left, from regions with the places ``at`` of their texts' repeated runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _pieces(whole):
                 words, bounds, live = _opened(batch)
                 known = np.zeros(len(words), bool)
+                firsts = batch.column("first").to_numpy(zero_copy_only=False)
                 for i, x in enumerate(batch.column("at")):
-                    known[bounds[i] + x.values.to_numpy(zero_copy_only=False)] = True
-                ids, hs, firsts = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("id", "h", "first"))
-                yield from _cut(words, bounds, live, known, n, length, ids, hs, firsts)
+                    at = x.values.to_numpy(zero_copy_only=False) - firsts[i]
+                    known[bounds[i] + at[(at >= 0) & (at < bounds[i + 1] - bounds[i])]] = True
+                own = [batch.column(k).to_numpy(zero_copy_only=False) for k in (*KEY, "w")]
+                yield from _cut(words, bounds, live, known, n, length, own, firsts)
 
-    return regions.mapInArrow(run, "id long, h long, first long, words binary, live binary")
+    return regions.mapInArrow(run, REGION)
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, n: int, work: Workspace) -> DataFrame:
-    """``id, h, starts``: for each row with any, the first words of its windows of n words that stand at another place, too."""
+    """``h, g, starts``: for each text with any, the first words of its windows of n words that stand at another place, too.
+
+    Ends early where no window is left. A text is known by its two hashes.
+    """
     ship_code(spark)
     keyed, steps = _keyed(docs), lengths(n)
-    found = _first_level(keyed, n, steps[0])
-    if len(steps) == 1:
-        return _repeated(found, ["run"], KEY, work, "runs-0").withColumnRenamed("at", "starts")
-    live = _repeated(found, ["run"], KEY, work, "runs-0")
-    # Copies of a row are one here; they were counted as many above and are again below.
-    regions = work.table(_regions(keyed.join(live, KEY), n, steps[0]), "regions-0")
-    for k, length in enumerate(steps[1:-1], 1):
-        at = _repeated(_next_level(regions, n, length), ["run"], [*KEY, "first"], work, f"runs-{k}")
-        regions = work.table(_shrunk(regions.join(at, [*KEY, "first"]), n, length), f"regions-{k}")
-        for name in (f"regions-{k - 1}", f"runs-{k - 1}", f"runs-{k}"):
+    found = work.table(_first_level(keyed, n, steps[0]), "found")
+    at = _repeated(found, ["run"], F.lit(1), F.collect_set, work, "runs")  # copies name a position more than once
+    if len(steps) > 1:
+        copies = keyed.groupBy(*KEY).agg(F.min("id").alias("id"), F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("w"))
+        picked = work.table(at.join(copies, KEY), "picked")
+        for name in ("found", "runs"):
             work.drop(name)
-    last = _next_level(regions, n, n)
-    hit = _hits(last, ["run", "run2"], work, "runs-last")
-    starts = work.table(hit.groupBy(*KEY).agg(F.collect_set((F.col("first") + F.col("at")).cast("int")).alias("starts")), "starts")
-    for name in (f"regions-{len(steps) - 2}", f"runs-{len(steps) - 2}", "runs-last"):
+        regions = work.table(_regions(keyed.join(picked, [*KEY, "id"]), n, steps[0]), "regions-0")
+        work.drop("picked")
+    for k, length in enumerate(steps[1:], 1):
+        if regions.isEmpty():
+            return spark.createDataFrame([], "h long, g long, starts array<int>")
+        found = work.table(_next_level(regions, n, length), "found")
+        at = _repeated(found, ["run"] if length < n else ["run", "run2"], F.col("w"), F.collect_list, work, "runs")
+        if length < n:
+            regions = work.table(_shrunk(regions.join(at, KEY), n, length), f"regions-{k}")
+            for name in ("found", "runs", f"regions-{k - 1}"):
+                work.drop(name)
+    starts = work.table(at.withColumnRenamed("at", "starts"), "starts")
+    for name in ("found", "runs", f"regions-{len(steps) - 2}"):
         work.drop(name)
     return starts
 
@@ -237,7 +249,7 @@ def cut_rows(spark: SparkSession, docs: DataFrame, n: int = 50, work: Workspace
     """
     work = work or Workspace(spark, "substring")
     starts = repeated_windows(spark, docs, n, work)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key_columns(), F.col("text").cast("string").alias("text"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key_columns(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     joined = keyed.join(starts, KEY, "left")
 
     @F.pandas_udf("kept string, n_words long, n_removed long, spans array<struct<start:int,end:int>>")
@@ -260,7 +272,7 @@ def cut_rows(spark: SparkSession, docs: DataFrame, n: int = 50, work: Workspace
             rows.append((b" ".join([w for w, c in zip(words, covered.tolist()) if not c]).decode("utf-8", "surrogatepass"), len(words), int(covered.sum()), spans))
         return pd.DataFrame(rows, columns=["kept", "n_words", "n_removed", "spans"])
 
-    return joined.select("row", cut("text", "starts").alias("cut"))
+    return joined.select("row", cut(F.col("row.text").cast("string"), "starts").alias("cut"))
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
