@@ -18,16 +18,13 @@ pairs at a text's begin, which nothing precedes: they keep c(uw).
 p(w|tu) = max(c(tuw) - D", 0) / c(tu) + g"(tu) p(w|u);  a text's first word has p(w|u) alone, as has any after an unseen pair.
 
 Counts are whole numbers of 64 bits, in a byte each where they are small. Maps hold no file handle, and no more than
-``MAPS`` of them are open at a time. Numbers of words and pairs have to fit a 64-bit key together; :func:`learn` says
+``storage.MAPS`` of them are open at a time. Numbers of words and pairs have to fit a 64-bit key together; :func:`learn` says
 so where a corpus is too large for that.
 """
 
 from __future__ import annotations
 
 import mmap
-import os
-import sys
-from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -37,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality import held_out
-from .storage import Workspace, filesystem, released_shuffles
+from .storage import Files, Workspace, released_shuffles, write_array
 from .text import U64, Words, blocks, mix
 
 END = U64(0x6A09E667F3BCC909)
@@ -46,9 +43,6 @@ SHARD_TOKENS, HELD = 1 << 23, 1 << 21
 #: Triples of a shard that are looked up at a time.
 SLICE = 1 << 18
 BIG = np.uint32(0xFFFFFFFF)
-#: Files of the model that a worker has mapped at most, and bytes that it holds of them where they can't be mapped.
-MAPS, HELD_BYTES = 16384, 1 << 28
-_NO_HANDLE = {"trackfd": False} if sys.version_info >= (3, 13) else {}
 
 
 def squeeze(keys: np.ndarray) -> tuple[bytes, bytes]:
@@ -137,19 +131,6 @@ def _tokens(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.n
         yield row, end, out, bounds
 
 
-def write_array(folder: str, name: str, *parts: np.ndarray) -> None:
-    """Write under a name of this attempt's own, then rename: a task that runs again leaves the same file."""
-    from pyspark import TaskContext
-
-    fs, root = filesystem(folder)
-    fs.create_dir(root, recursive=True)
-    temporary = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}"
-    with fs.open_output_stream(temporary, compression=None) as out:
-        for x in parts:
-            out.write(np.ascontiguousarray(x).data)
-    fs.move(temporary, f"{root}/{name}")
-
-
 def count_parts(x: np.ndarray) -> list[np.ndarray]:
     """What a file of counts holds: how many do not fit a byte, where they are, what they are, and all as bytes."""
     large = np.flatnonzero(x >= 255)
@@ -172,38 +153,7 @@ class Counts:
         return out
 
 
-class Files:
-    """The model's files, mapped at first use; those not asked for longest are let go beyond the bounds."""
-
-    def __init__(self, folder: str, maps: int = MAPS, held: int = HELD_BYTES):
-        self.fs, self.root = filesystem(folder)
-        self.maps, self.held, self.size = maps, held, 0
-        self.open: OrderedDict[str, bytes | mmap.mmap] = OrderedDict()
-
-    def _load(self, name: str) -> bytes | mmap.mmap:
-        from pyarrow import fs as pafs
-
-        if isinstance(self.fs, pafs.LocalFileSystem):
-            with open(f"{self.root}/{name}", "rb") as f:
-                return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_NO_HANDLE) if os.fstat(f.fileno()).st_size else b""
-        with self.fs.open_input_file(f"{self.root}/{name}") as f:  # a store that can't be mapped
-            out = f.read()
-        self.size += len(out)
-        return out
-
-    def raw(self, name: str) -> bytes | mmap.mmap:
-        if name in self.open:
-            self.open.move_to_end(name)
-        else:
-            self.open[name] = self._load(name)
-            while len(self.open) > self.maps or (self.size > self.held and len(self.open) > 1):
-                _, old = self.open.popitem(last=False)
-                self.size -= len(old) if isinstance(old, bytes) else 0
-        return self.open[name]
-
-    def array(self, name: str, shard: int, dtype: str) -> np.ndarray:
-        return np.frombuffer(self.raw(f"{name}-{shard:06d}"), dtype)
-
+class CountFiles(Files):
     def counts(self, name: str, shard: int) -> Counts:
         return Counts(self.raw(f"{name}-{shard:06d}"))
 
@@ -380,7 +330,7 @@ def learn(spark: SparkSession, docs: DataFrame, work: Workspace, shard_tokens: i
         model.total += r["total"]
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, vocabulary = _Tally(), Vocabulary(model, Files(folder))
+        tally, vocabulary = _Tally(), Vocabulary(model, CountFiles(folder))
 
         def rows() -> Iterator[pa.RecordBatch]:
             k, c = tally.take()
@@ -485,7 +435,7 @@ def _learn_triples(spark: SparkSession, text: DataFrame, work: Workspace, model:
         raise ValueError(f"{model.types} distinct words after {model.pair_sizes.sum()} pairs: a triple does not fit a 64-bit key")
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = Files(folder)
+        files = CountFiles(folder)
         tally, vocabulary, pairs = _Tally(), Vocabulary(model, files), Pairs(model, files)
 
         def rows() -> Iterator[pa.RecordBatch]:
@@ -507,7 +457,7 @@ def _learn_triples(spark: SparkSession, text: DataFrame, work: Workspace, model:
 
     def triples_of(key: tuple, table: pa.Table) -> pa.Table:
         # A shard has more triples than pairs: what is not needed any more is let go at once, and the rest goes by slices.
-        s, files = key[0].as_py(), Files(folder)
+        s, files = key[0].as_py(), CountFiles(folder)
         pairs = Pairs(model, files)
         k = np.concatenate([unsqueeze(d.as_py(), x.as_py()) for d, x in zip(table.column("d"), table.column("x"))])
         c = np.concatenate([unpack(c.as_py(), len(d.as_py()) // 4) for c, d in zip(table.column("c"), table.column("d"))])
@@ -547,7 +497,7 @@ def _learn_triples(spark: SparkSession, text: DataFrame, work: Workspace, model:
     triple_d = model.triple_d
 
     def kinds_of(key: tuple, table: pa.Table) -> pa.Table:
-        s, files = key[0].as_py(), Files(folder)
+        s, files = key[0].as_py(), CountFiles(folder)
         k, offsets = files.array("pairs", s, "<u8"), files.array("triple_offsets", s, "<u4").astype(np.int64)
         kinds = np.zeros(len(k), np.int64)
         for i, large, v in zip(*(table.column(x) for x in packed)):
@@ -575,7 +525,7 @@ class Scorer:
     """A worker's view of the model."""
 
     def __init__(self, model: Model):
-        self.model, self.files = model, Files(model.folder)
+        self.model, self.files = model, CountFiles(model.folder)
         self.vocabulary, self.pairs = Vocabulary(model, self.files), Pairs(model, self.files)
 
     def _by_word(self, numbers: np.ndarray) -> np.ndarray:

@@ -7,15 +7,22 @@ or the end of the driver.
 from __future__ import annotations
 
 import atexit
+import mmap
 import os
+import sys
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+#: Files that a worker has mapped at most, and bytes that it holds of them where they can't be mapped.
+MAPS, HELD_BYTES = 16384, 1 << 28
+_NO_HANDLE = {"trackfd": False} if sys.version_info >= (3, 13) else {}
 _OWN: list[str] = []
 _LIVE: dict[str, Workspace] = {}
 
@@ -113,3 +120,49 @@ def filesystem(uri: str):
         path = uri.removeprefix("file:")
         return fs.LocalFileSystem(), "/" + path.lstrip("/") if path.startswith("/") else os.path.abspath(path)
     return fs.FileSystem.from_uri(uri)
+
+
+def write_array(folder: str, name: str, *parts: np.ndarray) -> None:
+    """Write under a name of this attempt's own, then rename: a task that runs again leaves the same file."""
+    from pyspark import TaskContext
+
+    fs, root = filesystem(folder)
+    fs.create_dir(root, recursive=True)
+    temporary = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}"
+    with fs.open_output_stream(temporary, compression=None) as out:
+        for x in parts:
+            out.write(np.ascontiguousarray(x).data)
+    fs.move(temporary, f"{root}/{name}")
+
+
+class Files:
+    """Arrays of a shared folder, mapped at first use; those not asked for longest are let go beyond the bounds."""
+
+    def __init__(self, folder: str, maps: int = MAPS, held: int = HELD_BYTES):
+        self.fs, self.root = filesystem(folder)
+        self.maps, self.held, self.size = maps, held, 0
+        self.open: OrderedDict[str, bytes | mmap.mmap] = OrderedDict()
+
+    def _load(self, name: str) -> bytes | mmap.mmap:
+        from pyarrow import fs as pafs
+
+        if isinstance(self.fs, pafs.LocalFileSystem):
+            with open(f"{self.root}/{name}", "rb") as f:
+                return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_NO_HANDLE) if os.fstat(f.fileno()).st_size else b""
+        with self.fs.open_input_file(f"{self.root}/{name}") as f:  # a store that can't be mapped
+            out = f.read()
+        self.size += len(out)
+        return out
+
+    def raw(self, name: str) -> bytes | mmap.mmap:
+        if name in self.open:
+            self.open.move_to_end(name)
+        else:
+            self.open[name] = self._load(name)
+            while len(self.open) > self.maps or (self.size > self.held and len(self.open) > 1):
+                _, old = self.open.popitem(last=False)
+                self.size -= len(old) if isinstance(old, bytes) else 0
+        return self.open[name]
+
+    def array(self, name: str, shard: int, dtype: str) -> np.ndarray:
+        return np.frombuffer(self.raw(f"{name}-{shard:06d}"), dtype)

@@ -85,3 +85,46 @@ def test_empty_tables(spark):
     assert D.without_hits(spark, some.limit(0), items(spark, ["a b c"])).columns == some.columns
     rows = spark.createDataFrame([(None, "a b c")], "doc_id long, text string")
     assert [tuple(r)[:3] for r in D.matches(spark, rows.unionAll(rows), spark.createDataFrame([(None, "a b c")], "item_id long, text string")).collect()] == [(None, None, 0)] * 2
+
+
+def test_query_is_the_full_scan(spark):
+    """op10 on whole tables, against the plain table of edits for every document that shares a word with an item often enough."""
+    sf = "/root/testdata/sf0.001"
+    bench = [(r["item_id"], D.plain(r["text"]).split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = set()
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        w = D.plain(d["text"]).split()
+        there = set(w)
+        for i, b in bench:
+            if b and sum(x in there for x in b) >= len(b) - int(0.2 * len(b)) and min(edits(b, w)) <= int(0.2 * len(b)):
+                want.add((d["doc_id"], i))
+    got = D.op10_decontamination(spark, sf)
+    assert got.columns == ["doc_id", "item_id", "distance", "start_word", "end_word", "item_words"]
+    assert want and {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
+def test_a_piece_of_very_many_items(spark, monkeypatch):
+    rnd = rng(9)
+    shared = prose(rnd, 12, 3000)
+    bench = [shared + " " + prose(rnd, 20, 10**6) for _ in range(3000)]
+    texts = [" ".join([prose(rnd, 5, 3000), shared] * 20), "x " + bench[7], prose(rnd, 10, 3000) + " " + bench[8] + " y"]
+    monkeypatch.setattr(D, "PLACES", 1000)
+    calls = []
+    plain_myers = D.myers
+    monkeypatch.setattr(D, "myers", lambda *x: calls.append(1) or plain_myers(*x))
+    folder = D.index(spark, items(spark, bench), 0.2, 10**6, D.Workspace(spark, "test"))
+    import pyarrow as pa
+
+    found = dict(D._Finder(*folder).rows(pa.array(texts)))
+    assert sorted(found) == [1, 2] and [len(x) for x in found.values()] == [1, 1]
+    assert len(calls) < 50
+    got = D.matches(spark, frame(spark, texts), items(spark, bench)).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in got) == [(1, 7, 0), (2, 8, 0)]
+
+
+def test_a_very_long_text(spark):
+    rnd = rng(10)
+    bench = [prose(rnd, 30, 3000)]
+    texts = [" ".join([prose(rnd, 1000, 3000)] * 300 + bench + [prose(rnd, 1000, 3000)] * 100)]
+    got = D.matches(spark, frame(spark, texts), items(spark, bench)).collect()
+    assert [(r["doc_id"], r["item_id"], r["start_word"]) for r in got] == [(0, 0, 300_000)]
