@@ -2,7 +2,8 @@
 
 One pass over the texts gives a narrow table of features, which is written to the shared workspace. The class
 moments (count, sums, sums of products) are Spark aggregates of it over all labelled rows, so the model's input is a
-few hundred numbers whatever the size. Covariances are shrunk to the pooled one and to a scaled identity; their
+few hundred numbers whatever the size. A filter need not keep the table: it learns from a bounded sample of the labels
+and scores each row where it is. Covariances are shrunk to the pooled one and to a scaled identity; their
 Cholesky factors are computed once and scores are differences of Mahalanobis log densities.
 """
 
@@ -16,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Workspace
+from .storage import Workspace, ship_code
 from .text import Words, blocks
 
 FEATURES = ("log_words", "word_len", "letters", "symbols", "digits", "upper", "marked", "distinct", "line_words", "line_repeat", "bars", "capital")
 POOL, RIDGE = 0.1, 0.02
+#: Labels that a filter learns from at most.
+SAMPLE = 1 << 15
 
 
 def _classes() -> tuple[np.ndarray, ...]:
@@ -41,12 +44,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n_docs, counts = len(offsets) - 1, words.counts().astype(float)
     size = np.diff(offsets).astype(float)
 
-    def share(mask: np.ndarray, at: np.ndarray, bounds: np.ndarray, by: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask)])
-        return (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(by, 1.0)
+    def share(mask: np.ndarray, bounds: np.ndarray, by: np.ndarray) -> np.ndarray:
+        out, some = np.zeros(len(bounds) - 1), bounds[1:] > bounds[:-1]
+        if some.any():
+            out[some] = np.add.reduceat(mask, bounds[:-1][some], dtype=np.int64)
+        return out / np.maximum(by, 1.0)
 
     def per_byte(table: np.ndarray) -> np.ndarray:
-        return share(table[data], data, offsets, size)
+        return share(table[data], offsets, size)
 
     last = data[words.end - 1] if len(words) else np.zeros(0, np.uint8)
     before = data[np.maximum(words.end - 2, 0)] if len(words) else last
@@ -59,8 +64,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     distinct = np.bincount(doc[np.unique(key, return_index=True)[1]], minlength=n_docs) if len(words) else np.zeros(n_docs)
 
     # Lines: a line's hash is the sum over its words; repeated lines of one document have equal sums.
-    newline = np.concatenate([[0], np.cumsum(data == 10)])
-    line = newline[words.start] + doc
+    line = np.searchsorted(np.flatnonzero(data == 10), words.start) + doc
     first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(words) else np.zeros(0, int)
     line_doc = doc[first]
     lines = np.bincount(line_doc, minlength=n_docs).astype(float)
@@ -80,13 +84,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             np.sqrt(per_byte(symbol)),
             np.sqrt(per_byte(digit)),
             np.sqrt(per_byte(upper)),
-            np.sqrt(share(marked, data, bounds, counts)),
+            np.sqrt(share(marked, bounds, counts)),
             # distinct words against the square root of their number: does not just fall with length
             np.log1p(distinct) - 0.8 * np.log1p(counts),
             np.log1p(counts / np.maximum(lines, 1.0)),
             np.sqrt(1.0 - kinds / np.maximum(lines, 1.0)) * (lines > 0),
-            np.sqrt(share(lone, data, bounds, counts)),
-            np.sqrt(share(upper[head], data, bounds, counts)),
+            np.sqrt(share(lone, bounds, counts)),
+            np.sqrt(share(upper[head], bounds, counts)),
         ],
         axis=1,
     )
@@ -201,16 +205,27 @@ def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def sampled(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> QDA:
+    """The model learned from the rows of ``docs`` that bear one of at most ``most`` labels outside the held-out fold.
+
+    The labels are those with the smallest hashes of their ids, so the sample is the same however the table is stored.
+    They are broadcast; features are computed for the rows that bear them alone, where the rows are.
+    """
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
+    drawn = marks.where(~held_out("doc_id", 5, 0)).orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id", "label").limit(most)
+    few = F.broadcast(drawn.select("doc_id").distinct())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id", "left_semi")
+    return fit(feature_table(rows).join(F.broadcast(drawn), "doc_id"))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``threshold``, all columns kept.
 
     Null and empty texts get a score as all others do. The features are computed and scored where the row is, so no
-    row is shuffled for its score.
+    row is shuffled for its score. ``most``: see :func:`sampled`.
     """
-    work = Workspace(spark, "quality")
-    _, model = trained(spark, docs, labels, work)
-    work.drop()
-    return docs.where(score_of(F.col("text").cast("string"), model) >= threshold)
+    ship_code(spark)
+    return docs.where(score_of(F.col("text").cast("string"), sampled(spark, docs, labels, most)) >= threshold)
 
 
 def score_of(text: F.Column, model: QDA) -> F.Column:
