@@ -9,9 +9,11 @@ Documents with equal sets are one class. Classes that share a band of coordinate
 are compared by prefixes: in one order of all shingles, rare ones first, two sets of similarity p share a shingle among
 the first (1 - p) n + 1 of each; who shares none is not compared. A class is compared with those alone that it is not
 connected with yet, which gives a spanning forest of the links, not all pairs. Buckets larger than a chunk are dealt
-into chunks. What a chunk cannot see, links across chunks, is found in a second step: a member outside the bucket's
-largest component goes to those chunks where a member of another component has a shingle of its prefix. Buckets whose
-members are in one component already are left out, and buckets with equal members are one bucket.
+into chunks, in two ways. What a chunk cannot see, links across chunks, is found in a second step: the members of all
+large buckets that are still in several components meet anew, by each shingle of their prefixes. Only if so many of
+several components share one of these rare shingles that a chunk can't hold them, those outside the largest component
+go to every chunk. Buckets whose members are in one component already are left out, and buckets with equal members are
+one bucket.
 
 A set is known by 128 bits made from its shingles' hashes, a shingle by 64 bits, a word by 64 bits: what is equal in
 these counts as equal.
@@ -32,7 +34,9 @@ from .text import U64, Words, blocks, mix, shingle_sets
 
 T, BANDS = 128, 32
 #: A bucket is dealt into chunks of about so many classes and so many shingles.
-CHUNK, CHUNK_SHINGLES = 2048, 1 << 21
+CHUNK, CHUNK_SHINGLES = 512, 1 << 21
+#: Ways in which the first step deals a bucket into chunks: two ways connect what each chunk connects.
+WAYS = 2
 #: Bands of the first step; the second step takes all others.
 FIRST = 4
 #: Counters that tell frequent shingles from rare ones. They shape prefixes, not results.
@@ -173,7 +177,7 @@ def _slots(x: np.ndarray) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``node, item``: the shingles of each set's prefix in the order of rareness, by ``COUNTERS`` counters, and hash."""
+    """``item, node, root, n`` from (node, root, items): the shingles of each set's prefix, by rareness (``COUNTERS`` counters) and hash."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
@@ -189,12 +193,16 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, items in zip(batch.column(0), batch.column(1)):
+            found, size = [], []
+            for items in batch.column(2):
                 x = np.frombuffer(items.as_py(), U64)
-                first = x[np.lexsort((x, often[_slots(x)]))][: int(prefix_sizes(np.array(len(x)), percent))]
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(first), pa.binary()), pa.array(first.view(np.int64))], ["node", "item"])
+                found.append(x[np.lexsort((x, often[_slots(x)]))][: int(prefix_sizes(np.array(len(x)), percent))])
+                size.append(len(x))
+            if found:
+                at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(size, pa.int64()).take(at)], ["item", "node", "root", "n"])
 
-    return sets.select("node", "items").mapInArrow(run, "node binary, item long")
+    return sets.select("node", "root", "items").mapInArrow(run, "item long, node binary, root binary, n long")
 
 
 def _links_within(groups: DataFrame, percent: int) -> DataFrame:
@@ -252,12 +260,10 @@ def _components(spark: SparkSession, docs: DataFrame, words: int, percent: int,
     absent = F.lit(-(1 << 63))  # a class may have null ids alone
     entries = lead.select("node", "n", F.posexplode("keys").alias("band", "key"))
 
-    h = F.xxhash64("node")
-    size = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(0xFFFFFFFFFF)).alias("y"), F.min("band").alias("band"))
+    size = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"), *_members(), F.min("band").alias("band"))
     # Buckets with the same members are one; that of the lowest band stands for them.
     once = size.where("m > 1").groupBy("m", "x", "y").agg(F.min(F.struct("band", "key", "s")).alias("b"))
-    parts = F.greatest(F.ceil(F.col("m") / F.lit(CHUNK)), F.ceil(F.col("b.s") / F.lit(CHUNK_SHINGLES))).cast("int")
-    buckets = once.select(F.col("b.key").alias("bucket"), (F.col("b.band") < FIRST).alias("early"), parts.alias("parts"))
+    buckets = once.select(F.col("b.key").alias("bucket"), (F.col("b.band") < FIRST).alias("early"), _parts().alias("parts"))
     members = entries.select("node", F.col("key").alias("bucket")).join(buckets, "bucket")
     members = work.table(members, "members")
     if members.isEmpty():
@@ -269,8 +275,10 @@ def _components(spark: SparkSession, docs: DataFrame, words: int, percent: int,
     chosen = texts.join(wanted, "id", "left_semi")
     sets = work.table(full_sets(chosen, words, lower).dropDuplicates(["node"]), "sets")
 
-    # First step: chunks by themselves.
-    salt = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(0)).alias("chunk")
+    # First step: chunks by themselves. A group of near copies is one component in each chunk; members that two chunks of
+    # different ways have in common connect these, so the group is one component after this step, as a rule.
+    ways = F.array(*[(F.lit(w) * F.col("parts") + F.pmod(F.xxhash64("node", F.lit(w)), F.col("parts"))).cast("long") for w in range(WAYS)])
+    salt = F.explode(F.when(F.col("parts") > 1, ways).otherwise(F.array(F.lit(0).cast("long")))).alias("chunk")
     first = members.where("early").select("bucket", salt, "node").join(sets, "node").withColumn("root", F.col("node"))
     links = work.table(_links_within(first, percent), "links-1")
     roots = components(links, work, "roots-1")
@@ -281,22 +289,37 @@ def _components(spark: SparkSession, docs: DataFrame, words: int, percent: int,
     open_ = work.table(open_.select("bucket", "parts", "node", F.coalesce("r", "node").alias("root")), "open")
     tally = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root")).alias("top"))
     tally = work.table(tally.where("roots > 1").select("bucket", F.col("top.root").alias("top")), "tally")
-    chunk = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(0)).cast("long").alias("chunk")
-    live = work.table(open_.join(tally, "bucket").select("bucket", "node", "root", "top", "parts", chunk), "live")
-    dealt, home = live.select("bucket", "node", "root", "chunk"), live.where("parts > 1")
-    if not home.isEmpty():
-        held = work.table(home.join(prefixes(sets.join(home.select("node").distinct(), "node", "left_semi"), percent), "node"), "held")
-        holders = work.table(held.groupBy("bucket", "item", "chunk").agg(F.min("root").alias("r0"), F.max("root").alias("r1")), "holders")
-        asks = held.where("root <> top").select("bucket", "item", "node", "root")
-        calls = asks.join(holders, ["bucket", "item"]).where("root <> r0 or root <> r1").select("bucket", "node", "root", "chunk")
-        dealt = dealt.unionAll(calls).distinct()
+    live = work.table(open_.join(tally, "bucket").select("bucket", "node", "root", "parts"), "live")
+    dealt, large = live.where("parts = 1").select("bucket", F.lit(0).cast("long").alias("chunk"), "node", "root"), live.where("parts > 1")
+    if not large.isEmpty():
+        hot = work.table(large.select("node", "root").distinct().join(sets, "node"), "hot")
+        held = work.table(prefixes(hot, percent), "held")
+        by_root = held.groupBy("item", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"), *_members())
+        groups = by_root.groupBy("item").agg(F.count(F.lit(1)).alias("roots"), F.sum("k").alias("m"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"), F.sum("y").alias("y"), F.max(F.struct("k", "root")).alias("top"))
+        groups = groups.where("roots > 1").groupBy("m", "x", "y").agg(F.min(F.struct("item", "s", "top")).alias("b"))
+        groups = work.table(groups.select(F.col("b.item").alias("item"), F.col("b.top.root").alias("top"), _parts().alias("parts")), "groups")
+        own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        chunks = F.when((F.col("parts") > 1) & (F.col("root") != F.col("top")), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)
+        meet = held.join(groups, "item").select(F.col("item").alias("bucket"), "node", "root", F.explode(chunks).alias("c"))
+        dealt = dealt.unionAll(meet.select("bucket", (-1 - F.col("c")).cast("long").alias("chunk"), "node", "root"))  # no bucket's chunk is negative
     more = work.table(_links_within(dealt.join(sets, "node"), percent), "links-2")
     final = components(links.unionAll(more), work, "roots-2")
-    for name in ("members", "sets", "links-1", "links-2", "open", "tally", "live", "held", "holders"):
+    for name in ("members", "sets", "links-1", "links-2", "open", "tally", "live", "hot", "held", "groups"):
         work.drop(name)
     return _labelled(base, lead, final, work)
 
 
+def _members() -> tuple[F.Column, F.Column]:
+    """Equal for groups of the same nodes."""
+    h = F.xxhash64("node")
+    return F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(0xFFFFFFFFFF)).alias("y")
+
+
+def _parts() -> F.Column:
+    """Chunks of a group of m sets with b.s shingles in all."""
+    return F.greatest(F.ceil(F.col("m") / F.lit(CHUNK)), F.ceil(F.col("b.s") / F.lit(CHUNK_SHINGLES))).cast("int")
+
+
 def _labelled(base: DataFrame, lead: DataFrame, roots: DataFrame, work: Workspace) -> DataFrame:
     """Each row with the smallest doc_id of its component. Each join has a plain table on both sides, so that Spark can split it."""
     linked = work.table(lead.select("node", "lead").join(roots, "node").select("node", "lead", "root"), "linked")
