@@ -1,10 +1,11 @@
 """Deterministic sharded WARC writer and a reader that gets every page back.
 
-Records are range-sorted by page_id. The shard bounds come from a histogram of payload bytes over id ranges, not from
-a sample, so the same table always gives the same files. Each task streams its shard into gzip members (one a
+Records are range-sorted by page_id. Sizes and digests of the payloads are written as a narrow table first. The shard
+bounds come from a histogram of its bytes over id ranges, not from a sample, so the same table always gives the same
+files; an id, or the null id, that alone is heavier than a shard has several, dealt by digest. Each task streams its shard into gzip members (one a
 record), rolls to a new file when a file's compressed size is reached, writes under a temporary name of its own
 attempt and renames when the file is whole. The manifest, a table of the committed files, is written last; a reader
-goes by the manifest alone, so files of lost attempts are never seen.
+goes by the manifest alone, so files of lost attempts are never seen; it raises where a file is not what the manifest says.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import uuid
 import zlib
 from base64 import b32encode
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import quote
 
 import numpy as np
@@ -25,62 +27,80 @@ from .storage import Workspace, filesystem
 
 #: Payloads of fewer bytes are never made revisits.
 LEAST_REVISIT = 100
-#: Compressed bytes after which a file is closed and the next one opened.
-ROLL = 1 << 30
+#: Payload bytes of a shard: this share of all, at least and at most so many.
+SHARDS, LEAST_SHARD, MOST_SHARD = 64, 4 << 20, 4 << 30
+#: A file is closed when its compressed bytes reach this share of its shard's payload bytes, so that a shard is several files.
+FILES = 16
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, records long, bytes long, digest string, first_page long, last_page long"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, payload_ok boolean"
-GRID = 4096
+#: Bits of an id that the first histogram tells apart, and each further one.
+FIRST_BITS, MORE_BITS = 12, 4
 
 
 def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
-def shard_bounds(pages: DataFrame, shard_bytes: int | None = None) -> list[int]:
-    """Ascending ids at which a new shard begins, from exact histograms of bytes over id ranges.
+@dataclass
+class Bounds:
+    """Shards: ``parts[0]`` for null ids, then ``parts[i]`` from the id ``starts[i - 1]`` on."""
 
-    A range heavier than a shard is divided again, until it holds one id. Only grid counts come to the driver: at most
-    4096 a level and heavy range. Without ``shard_bytes``: a 64th of all bytes, between 4 MB and 1 GB.
+    starts: np.ndarray
+    parts: np.ndarray
+
+    def shard(self, page_id: np.ndarray, null: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The shard of each row; ``key``: 16 bits of the digest, which count where an id has several shards."""
+        at = np.where(null, 0, np.maximum(np.searchsorted(self.starts, page_id, "right"), 1))
+        return np.concatenate([[0], np.cumsum(self.parts)])[at] + (key * self.parts[at] >> 16)
+
+
+def shard_bounds(light: DataFrame, want: int) -> Bounds:
+    """Bounds from exact histograms of bytes over id ranges of ``light`` (page_id, size), for shards of about ``want`` bytes.
+
+    A range heavier than two shards is divided again, until it holds one id; one job counts all such ranges at once.
+    What comes to the driver is 4096 numbers, then 16 for each heavy range: 8 for each shard at most.
     """
-    size = F.octet_length("html").cast("long") + 512
-    low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum(size)).first()
-    if low is None:
-        return []
-    want = shard_bytes or min(max((total or 0) // 64, 4 << 20), 1 << 30)
-    ranges, fine = [(low, high)], {}
-    while ranges:
-        heavy = []
-        for a, b in ranges:
-            width = max(1, -(-(b - a + 1) // GRID))
-            cell = F.floor((F.col("page_id").cast("decimal(20,0)") - F.lit(a)) / F.lit(width)).cast("long")
-            got = pages.where(F.col("page_id").between(a, b)).groupBy(cell.alias("c")).agg(F.sum(size).alias("n")).collect()
-            fine.pop(a, None)
-            for r in got:
-                start = a + r["c"] * width
-                fine[start] = r["n"]
-                if r["n"] > 2 * want and width > 1:
-                    heavy.append((start, min(b, start + width - 1)))
-        ranges = heavy
-    bounds, held = [], 0
-    for start, n in sorted(fine.items()):
-        if held and held + n > want:
-            bounds.append(start)
+    code = F.col("page_id").bitwiseXOR(F.lit(-(1 << 63)))  # as an unsigned number it has the order of the ids
+    low, high, empty = light.agg(F.min("page_id"), F.max("page_id"), F.sum(F.when(F.col("page_id").isNull(), F.col("size")))).first()
+    parts, starts, cells = [-(-empty // want) if empty else 1], [], {}
+    if low is not None:
+        bits = (low ^ high).bit_length() if (low < 0) == (high < 0) else 64
+        ids, shift = light.where("page_id is not null"), max(0, bits - FIRST_BITS)
+        rows = ids
+        while True:
+            got = rows.groupBy(F.shiftrightunsigned(code, shift).alias("cell")).agg(F.sum("size").alias("n")).collect()
+            heavy = [(r["cell"],) for r in got if r["n"] > 2 * want and shift]
+            cells |= {((r["cell"] << shift) + (1 << 63)) % (1 << 64): (r["n"], shift) for r in got if r["n"] <= 2 * want or not shift}
+            if not heavy:
+                break
+            parent = F.shiftrightunsigned(code, shift)
+            rows = ids.join(light.sparkSession.createDataFrame(heavy, "heavy long"), parent == F.col("heavy"), "left_semi")
+            shift = max(0, shift - MORE_BITS)
+    held = want + 1
+    signed = {(start if start < 1 << 63 else start - (1 << 64)): x for start, x in cells.items()}
+    for start, (n, shift) in sorted(signed.items()):
+        if held + n > want:
+            starts.append(start)
+            parts.append(1)
             held = 0
         held += n
-    return bounds
+        if not shift and n > want:
+            parts[-1] = -(-n // want)
+            held = want + 1  # the next id begins a shard of its own
+    return Bounds(np.array(starts, np.int64), np.array(parts, np.int64))
 
 
-def decisions(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+def decisions(light: DataFrame, work: Workspace, least: int = LEAST_REVISIT) -> DataFrame:
     """``page_id, d, refers_to`` of the payloads, by digest, that also stand under a smaller page_id; no payload is shuffled.
 
     Payloads are compared by SHA-256. Each digest's smallest id comes from a partly aggregated group, and only digests
-    with several ids go into the join.
+    with several ids go into the join. They are written first, so that Spark can split the join of a very common one.
     """
-    light = pages.where(F.octet_length("html") >= least).select("page_id", F.unhex(F.sha2("html", 256)).alias("d"))
+    light = light.where(F.col("size") >= least).select("page_id", "d")
     lead = light.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
-    return light.join(lead, "d").where("page_id > refers_to").select("page_id", "d", "refers_to").distinct()
+    return light.join(work.table(lead, "lead"), "d").where("page_id > refers_to").select("page_id", "d", "refers_to").distinct()
 
 
 def _member(headers: list[tuple[str, str]], block: bytes, level: int) -> bytes:
@@ -145,33 +165,41 @@ class _Files:
         return self.name, self.records, self.size, self.sha.hexdigest(), self.first, self.last
 
 
-def write(spark: SparkSession, pages: DataFrame, folder: str, least: int = LEAST_REVISIT, roll: int = ROLL, shard_bytes: int | None = None, level: int = 6) -> DataFrame:
+def write(spark: SparkSession, pages: DataFrame, folder: str, least: int = LEAST_REVISIT, roll: int | None = None, shard_bytes: int | None = None, level: int = 6) -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html) below ``folder`` and return the committed manifest.
 
-    Null html: an empty payload. Null page_id: a record without the id, in the first shard. Null url: a target made
+    Null html: an empty payload. Null page_id: a record without the id, in the first shards. Null url: a target made
     from the id. Rows that repeat an id get a record each; rows with the smallest id of their payload are all responses.
-    An empty table gives an empty manifest. Other columns are not read.
+    An empty table gives an empty manifest. Other columns are not read. ``shard_bytes``: payload bytes of a shard, about;
+    ``roll``: compressed bytes of a file at most, but of one record.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    bounds = np.array(shard_bounds(rows, shard_bytes), np.int64)
+    digest, work = F.unhex(F.sha2("html", 256)), Workspace(spark, "warc-plan")
+    light = work.table(rows.select("page_id", F.octet_length("html").cast("long").alias("size"), digest.alias("d")), "light")
+    weighed = light.withColumn("size", F.col("size") + 512)
+    want = shard_bytes or min(max((weighed.agg(F.sum("size")).first()[0] or 0) // SHARDS, LEAST_SHARD), MOST_SHARD)
+    bounds = shard_bounds(weighed, want)
+    roll = roll or want // FILES
 
     @F.pandas_udf("int")
-    def shard_of(page_id):  # noqa: ANN001, ANN202
+    def shard_of(page_id, key):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series(np.searchsorted(bounds, page_id.to_numpy(), "right").astype("int32"))
+        null = page_id.isna().to_numpy()
+        return pd.Series(bounds.shard(page_id.fillna(0).to_numpy().astype("int64"), null, key.to_numpy()).astype("int32"))
 
     # A decision travels to its page's shard and sorts right before the page: payloads are shuffled once.
-    told = decisions(rows, least).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "d", "refers_to", F.lit(0).alias("kind"))
-    both = rows.select("page_id", "url", "html", F.lit(None).cast("binary").alias("d"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind")).unionAll(told)
-    dealt = both.withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(1 << 63))))).repartitionById(len(bounds) + 1, F.col("shard"))
+    told = decisions(light, work, least).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "d", "refers_to", F.lit(0).alias("kind"))
+    own = digest if bounds.parts.max() > 1 else F.lit(None).cast("binary")  # a digest matters where it deals an id
+    both = rows.select("page_id", "url", "html", own.alias("d"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind")).unionAll(told)
+    key = F.coalesce(F.conv(F.hex(F.substring("d", 1, 2)), 16, 10).cast("int"), F.lit(0)) if bounds.parts.max() > 1 else F.lit(0)
+    dealt = both.withColumn("shard", shard_of("page_id", key)).repartitionById(int(bounds.parts.sum()), F.col("shard"))
     order = dealt.sortWithinPartitions("page_id", "kind", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, told_id, told_to, done = None, None, {}, []
         for batch in batches:
-            for i in range(batch.num_rows):
-                page_id, url, html, digest, refers_to, kind, shard = (batch.column(j)[i].as_py() for j in range(7))
+            for page_id, url, html, digest, refers_to, kind, shard in zip(*(x.to_pylist() for x in batch.columns)):
                 if kind == 0:
                     if page_id != told_id:
                         told_id, told_to = page_id, {}
@@ -189,6 +217,7 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, least: int = LEAST
 
     path = f"{folder}/_manifest"
     order.select("page_id", "url", "html", "d", "refers_to", "kind", "shard").mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(path)
+    work.drop()
     return spark.read.schema(MANIFEST).parquet(path)
 
 
@@ -218,11 +247,30 @@ def parse(member: bytes) -> tuple:
     if fields["WARC-Type"] == "revisit":
         return number("X-Page-Id"), number("X-Payload-Length"), stated, "revisit", number("X-Refers-To-Page"), fields["WARC-Target-URI"], None, True
     sha = hashlib.sha256(payload).hexdigest()
-    return number("X-Page-Id"), len(payload), sha, "response", None, fields["WARC-Target-URI"], payload, sha == stated
+    if sha != stated:
+        raise ValueError(f"payload digest of {fields['WARC-Record-ID']}")
+    return number("X-Page-Id"), len(payload), sha, "response", None, fields["WARC-Target-URI"], payload, True
+
+
+class _Hashed:
+    """A stream that knows the digest and the length of what was read from it."""
+
+    def __init__(self, stream):  # noqa: ANN001
+        self.stream, self.sha, self.size = stream, hashlib.sha256(), 0
+
+    def read(self, n: int) -> bytes:
+        part = self.stream.read(n)
+        self.sha.update(part)
+        self.size += len(part)
+        return part
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of the files that the manifest names, streamed file by file."""
+    """Every record of the files that the manifest names, streamed file by file.
+
+    Raises where a file is missing, its bytes, digest or number of records are not those of the manifest, or a record's
+    block or payload has another digest than its header says.
+    """
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
     tasks = spark.sparkContext.defaultParallelism * 4
 
@@ -235,18 +283,22 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                rows, size = [], 0
+            for name, records, length, digest in zip(*(x.to_pylist() for x in batch.columns)):
+                rows, size, seen = [], 0, 0
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                    stream = _Hashed(stream)
                     for member in members(stream):
                         rows.append(parse(member))
                         size += len(member)
+                        seen += 1
                         if size > 4 << 20:
                             yield flush(rows)
                             rows, size = [], 0
+                if (seen, stream.size, stream.sha.hexdigest()) != (records, length, digest):
+                    raise ValueError(f"{name} is not the file that the manifest names")
                 yield flush(rows)
 
-    return manifest.select("file").repartition(tasks, "file").mapInArrow(run, READ)
+    return manifest.select("file", "records", "bytes", "digest").repartition(tasks, "file").mapInArrow(run, READ)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 import hashlib
+import random
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparklith.llm import warc
@@ -72,3 +75,51 @@ def test_query_agrees_with_sql(spark):
     con = duckdb.connect()
     con.execute("create view pages as select * from '/root/testdata/sf0.001/pages.parquet'")
     assert got == sorted(con.execute(f"select page_id, payload_bytes, payload_digest, record_type, refers_to from ({warc.OP1_SQL})").fetchall())
+
+
+def test_bounds_are_found_in_a_job_a_level(spark, tmp_path):
+    """2000 ranges that are each heavier than two shards, far apart."""
+    rnd = random.Random(3)
+    starts = sorted(rnd.sample(range(-(2**50), 2**50), 2000))
+    rows = [(i * 4096 + k, 400) for i in starts for k in range(4)]
+    light = spark.createDataFrame(rows, "page_id long, size long")
+    context = spark.sparkContext
+    context.setJobGroup("bounds", "bounds")
+    bounds = warc.shard_bounds(light, 700)
+    context._jsc.clearJobGroup()
+    assert len(context.statusTracker().getJobIdsForGroup("bounds")) < 100  # 14 levels, each of a few jobs as Spark counts them
+    shards = bounds.shard(np.array([r[0] for r in rows]), np.zeros(len(rows), bool), np.zeros(len(rows), np.int64))
+    assert (np.diff(shards) >= 0).all() and np.bincount(shards).max() <= 2
+
+
+def test_one_id_of_very_many_rows_has_several_shards(spark, tmp_path):
+    body = lambda i: hashlib.sha256(str(i).encode()).hexdigest() * 4
+    rows = [(None, f"n{i}", body(i)) for i in range(200)] + [(7, f"u{i}", body(500 + i)) for i in range(200)] + [(i, "u", body(900 + i)) for i in range(20)] + [(30 + i, "v", body(500 + i)) for i in range(0, 200, 9)]
+    manifest = warc.write(spark, made(spark, rows), f"file://{tmp_path}/w", shard_bytes=20_000)
+    shards = {r["file"].split("-")[1] for r in manifest.where("first_page <=> last_page and (first_page is null or first_page = 7)").collect()}
+    assert len(shards) > 12
+    got = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert sorted(((r["page_id"], r["payload_digest"]) for r in got), key=repr) == sorted(((i, hashlib.sha256(t.encode()).hexdigest()) for i, _, t in rows), key=repr)
+    assert {r["page_id"]: r["refers_to"] for r in got if r["record_type"] == "revisit"} == {30 + i: 7 for i in range(0, 200, 9)}
+
+
+def test_damaged_archives_raise(spark, tmp_path):
+    warc.write(spark, made(spark), f"file://{tmp_path}/w")
+    path = next(p for p in (tmp_path / "w").iterdir() if p.suffix == ".gz")
+    whole = path.read_bytes()
+    half = whole[: whole.index(b"\x1f\x8b\x08", 10)]  # the first record alone
+    broken = bytearray(whole)
+    broken[len(whole) // 2] ^= 255
+    for bad in (half, bytes(broken), whole + half):
+        path.write_bytes(bad)
+        with pytest.raises(Exception, match="is not the file|digest|ends within|Error -3|incorrect"):
+            warc.read(spark, f"file://{tmp_path}/w").collect()
+    path.unlink()
+    with pytest.raises(Exception, match="No such file"):
+        warc.read(spark, f"file://{tmp_path}/w").collect()
+
+
+def test_a_very_long_payload(spark, tmp_path):
+    rows = [(1, "u", "0123456789" * 3_000_000), (2, "u", "0123456789" * 3_000_000), (3, "u", "x")]
+    warc.write(spark, made(spark, rows), f"file://{tmp_path}/w")
+    assert result(warc.read(spark, f"file://{tmp_path}/w")) == [(1, 30_000_000, "response", None), (2, 30_000_000, "revisit", 1), (3, 1, "response", None)]
