@@ -37,9 +37,9 @@ def _role_out(role: Column) -> Column:
 
 
 def _role_in(role: Column) -> Column:
-    plain = unescape(role)
-    # "\\" stands for a backslash, so "\n" is a line end only after an even number of them.
-    return F.replace(F.replace(F.replace(plain, F.lit("\\\\"), F.lit("\u0000")), F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\"))
+    # In a run of backslashes each pair stands for one; one that is left over before an n makes it a line end.
+    lines = F.regexp_replace(unescape(role), F.lit(r"(?<!\\)((?:\\\\)*+)\\n"), F.lit("$1\n"))
+    return F.replace(lines, F.lit("\\\\"), F.lit("\\"))
 
 
 def tokens(text: Column) -> Column:

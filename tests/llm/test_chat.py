@@ -79,6 +79,8 @@ def test_nulls_ties_and_empty_tables(spark):
     assert run(spark, [])[0].count() == 0
     check(spark, [(1, 0, "user", None), (1, 1, "assistant", None), (1, 1, "assistant", None), (2, None, "user", "first"), (2, 0, None, "second"), (3, 5, "user", "x"), (3, 5, "assistant", "y")])
     check(spark, [(1, -3, "user", "a"), (1, 10**12, "assistant", "b"), (1, 0, "ro\nle\\n", "c")])
+    check(spark, [(1, i, r, "t") for i, r in enumerate(["a\x00b", "\x00", "\\\\n\\\n\n\\", "\\n", "n\\", "\\" * 5000 + "n", "<|\\\n|>\\"])])
+    check(spark, [(1, 0, "user", "long \x00 " * 200_000), (1, 1, "assistant", "y" * 1_000_000)])
     out, back = run(spark, [(None, 0, "user", "a"), (None, 1, "assistant", "b")])
     assert back.first()["under"] == ["b"]
 
