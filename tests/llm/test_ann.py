@@ -94,3 +94,35 @@ def test_recall_of_the_query(spark):
     for q, found in got.items():
         assert found == sorted(found, key=lambda x: (x[2], x[1]))
         assert all(d == pytest.approx(float(np.sqrt(((exact[q] - exact[i]) ** 2).sum()))) for _, i, d in found)
+
+
+def test_queries_of_another_length_do_not_take_part(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(i, rnd.normal(size=8)) for i in range(1, 100) if i % 10] + [(i, rnd.normal(size=4)) for i in range(0, 100, 10)]
+    asked = [r for r in rows if r[0] % 10 == 0] + [(1, rows[0][1])]
+    got = result(ann.search(spark, frame(spark, rows), frame(spark, asked), 5, probes=1000))
+    assert list(got) == [1]
+    same(got, brute([r for r in rows if len(r[1]) == 8], [rows[0]], 5))
+
+
+def test_hot_lists_are_dealt_by_vectors_and_queries(spark, monkeypatch):
+    rnd = np.random.default_rng(7)
+    middle = rnd.normal(size=20) * 9
+    rows = [(i, middle + rnd.normal(size=20)) for i in range(300)] + [(1000, middle)] * 40 + [(2000 + i, rnd.normal(size=20)) for i in range(60)]
+    monkeypatch.setattr(ann, "CHUNK", 50)
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    queries = rows[:300:3] + [rows[300], rows[-1]]
+    got = ann.search(spark, frame(spark, rows), frame(spark, queries), 5, probes=1000, lists=4)
+    same(result(got), brute(rows, queries, 5))
+
+
+def test_bounds_and_blocks_leave_the_nearest(spark):
+    rnd = np.random.default_rng(8)
+    x, q = rnd.normal(size=(3000, 50)), rnd.normal(size=(20, 50))
+    ids, qids = np.arange(3000), np.arange(5000, 5020)
+    exact = np.sqrt(((x[None] - q[:, None]) ** 2).sum(2))
+    tenth = np.sort(exact, axis=1)[:, 9]
+    for bounds in (np.full(20, np.inf), tenth):
+        got = ann.scan(ids, x, ann.column_blocks(x), qids, q, bounds, 10)
+        hits = sum(d <= tenth[i - 5000] for i, _, d in got)
+        assert hits >= 0.97 * 200 and all(np.isclose(exact[i - 5000, j], d) for i, j, d in got)
