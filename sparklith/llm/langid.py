@@ -26,7 +26,7 @@ GAP = np.uint64(0x1FFFFF)
 
 
 def letters(text: str) -> np.ndarray:
-    """Lower-case code points of the letters; every run of anything else, and both ends, as one gap. Empty if there is no letter."""
+    """Lower-case code points of the letters; every run of anything else as one gap."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     kinds = np.flatnonzero(np.bincount(code, minlength=1)) if len(code) else code
     table = np.full(int(kinds[-1]) + 1 if len(kinds) else 1, 0x1FFFFF, np.uint32)
@@ -35,34 +35,38 @@ def letters(text: str) -> np.ndarray:
         if ch.isalpha():
             table[c] = ord(ch.lower()[0])
     out = table[code]
-    solid = out != 0x1FFFFF
-    if not solid.any():
-        return np.zeros(0, np.uint64)
-    keep = solid.copy()
-    keep[1:] |= solid[:-1]  # the first of a run of others stands for it
-    out = out[keep].astype(np.uint64)
-    out = out if out[0] == GAP else np.concatenate([[GAP], out])
-    return out if out[-1] == GAP else np.concatenate([out, [GAP]])
+    keep = out != 0x1FFFFF
+    keep[1:] |= keep[:-1].copy()  # the first of a run of others stands for it
+    keep[:1] = True
+    return out[keep].astype(np.uint64)
 
 
 def gram_counts(text: str, grams: int = GRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams, counts) of a whole text for n up to ``grams`` (at most 3), in ascending order of the packed n-gram."""
-    code = letters(text)
+    """(n-grams, counts) of a whole text for n up to ``grams`` (at most 3), in ascending order of the packed n-gram.
+
+    A gap stands before and after the text. It is worked on ``CHUNK`` characters at a time.
+    """
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(0, len(code), CHUNK):
-        part = code[at : at + CHUNK + grams - 1]
-        own = len(part) if at + CHUNK >= len(code) else CHUNK
-        keys = []
-        packed = part[:own]
-        keys.append(packed[packed != GAP])
+    before, some = np.array([GAP]), False
+    for at in range(0, len(text), CHUNK):
+        part = letters(text[at : at + CHUNK])
+        if before[-1] == GAP and part[0] == GAP:
+            part = part[1:]
+        if at + CHUNK >= len(text) and (part[-1] if len(part) else before[-1]) != GAP:
+            part = np.append(part, GAP)
+        if not len(part):
+            continue
+        own = part[part != GAP]
+        some |= len(own) > 0
+        line, keys = np.concatenate([before, part]), [own]
         for n in range(2, grams + 1):
-            room = min(own, len(part) - n + 1)
-            if room <= 0:
-                break
-            packed = (packed[:room] << np.uint64(21)) | part[n - 1 : n - 1 + room]
+            packed = line[max(0, len(before) - n + 1) : len(line) - n + 1]
+            for j in range(1, n):
+                packed = (packed << np.uint64(21)) | line[max(0, len(before) - n + 1) + j :][: len(packed)]
             keys.append(packed)
         found.append(np.unique(np.concatenate(keys), return_counts=True))
-    if not found:
+        before = line[-max(grams - 1, 1) :]
+    if not some:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(found) == 1:
         return found[0]
