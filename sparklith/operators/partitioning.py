@@ -1,6 +1,6 @@
 """Hash buckets, stable partitions, chunks, and back to one table.
 
-Which bucket a row is in is a column; :func:`place` also puts the rows there physically, one task a bucket. Stability
+Which bucket a row is in is a column; :func:`place` also puts the rows there physically. Stability
 is a column, too: ``pos_in`` is the row's place inside its bucket in the original order.
 """
 
@@ -19,9 +19,11 @@ def with_bucket(df: DataFrame, keys: list[str], bits: int, name: str = "bucket")
     return df.withColumn(name, bucket_id(row_hash(*keys), bits))
 
 
-def place(df: DataFrame, bits: int, bucket: str = "bucket") -> DataFrame:
-    """Put each bucket into the partition of its number."""
-    return df.repartitionById(1 << bits, F.col(bucket).cast("int"))
+def place(df: DataFrame, bits: int, bucket: str = "bucket", partitions: int | None = None) -> DataFrame:
+    """Put each bucket into the partition of its number, or consecutive buckets together into fewer ``partitions``."""
+    buckets = 1 << bits
+    n = min(partitions or buckets, buckets)
+    return df.repartitionById(n, F.floor(F.col(bucket) * F.lit(n) / F.lit(buckets)).cast("int"))
 
 
 def bucket_histogram(df: DataFrame, buckets: int, bucket: str = "bucket", chunk: str | None = None, chunks: int = 1) -> DataFrame:
@@ -51,8 +53,7 @@ def partition_by_bucket(df: DataFrame, bucket: str = "bucket", pos: str = "pos",
 
 def repartition_bucket(df: DataFrame, new: Column, old: str = "bucket", pos_in: str = "pos_in", name: str = "bucket2", place_name: str = "pos_in2") -> DataFrame:
     """Partition again: stable in the order of the old bucket and the place in it."""
-    w = Window.partitionBy(name).orderBy(old, pos_in)
-    return df.withColumn(name, new).withColumn(place_name, (F.row_number().over(w) - 1).cast("bigint"))
+    return position_within(df.withColumn(name, new), [name], [old, pos_in], place_name)
 
 
 def chunk(df: DataFrame, size: int, pos: str = "pos", name: str = "chunk") -> DataFrame:

@@ -1,7 +1,9 @@
 """Prefix sums and row numbers in two phases, so that no task sees all rows.
 
-Rows are dealt into chunks of consecutive order keys. Chunk totals are one small aggregate; their running sum, a window
-over the chunks alone, is joined back and added to the running sum inside each chunk.
+Rows are dealt by their order into ranges of about equally many rows, whatever the keys are, sorted inside each and
+written once; so the ranges are the same wherever they are read. A row's number inside its range is known when it is
+written. Range totals are one small aggregate; their running sum, a window over the ranges alone, is added to what a row
+has inside its range.
 """
 
 from __future__ import annotations
@@ -11,59 +13,68 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 20
+from sparklith.sources.shared import Workspace
 
+#: Rows of a range, about; ranges whose totals are broadcast (16 bytes each).
+CHUNK, MOST_BROADCAST = 1 << 20, 1 << 20
+#: Smaller ranges than this are not made for the sake of parallel tasks.
+LEAST = 1 << 14
 
-def _dealt(df: DataFrame, order: str, chunk: int) -> DataFrame:
-    """df with ``_chunk``: the order key without its low bits."""
-    if chunk & (chunk - 1):
+
+def _ranges(df: DataFrame, order: list[str], chunk: int) -> tuple[DataFrame, int]:
+    """(df with ``_chunk``, its range in the order, and ``_row``, its number in that; the number of ranges). NULLs come first."""
+    if chunk < 1 or chunk & (chunk - 1):
         raise ValueError("a chunk's size is a power of two")
-    return df.withColumn("_chunk", F.shiftright(F.col(order).cast("bigint"), chunk.bit_length() - 1))
+    n = df.count()
+    parts = max(1, -(-n // chunk), min(n // LEAST, df.sparkSession.sparkContext.defaultParallelism))
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    rows = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    rows = rows.withColumns({"_chunk": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    return Workspace(df.sparkSession, "ranges").table(rows, "rows"), parts
 
 
-def _add_before(rows: DataFrame, by: list[str], before: DataFrame) -> DataFrame:
-    """rows with ``_before`` of their (by, chunk); NULLs are keys like all others."""
-    keys = [*by, "_chunk"]
-    names = {c: f"_key{i}" for i, c in enumerate(keys)}
-    other = before.withColumnsRenamed(names)
-    on = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()))
-    return rows.join(other, on).drop(*names.values())
+def _with_before(rows: DataFrame, parts: int, total: Column) -> DataFrame:
+    """rows with ``_before``: the sum of ``total`` over all earlier ranges; NULL if they have none."""
+    sums = rows.groupBy("_chunk").agg(total.alias("_sum"))
+    # A row per range: the one place where a window has no partition.
+    earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_chunk", F.sum("_sum").over(earlier).alias("_before"))
+    return rows.join(F.broadcast(before) if parts <= MOST_BROADCAST else before, "_chunk")
 
 
-def _chunked(df: DataFrame, order: str, by: list[str], total: Column, chunk: int) -> tuple[DataFrame, Window]:
-    """df with ``_chunk`` and ``_before``: the total of all chunks before it in the order (by, order)."""
-    rows = _dealt(df, order, chunk)
-    sums = rows.groupBy(*by, "_chunk").agg(total.alias("_sum"))
-    # A row per chunk: the one place where a window has no partition.
-    earlier = Window.orderBy(*[F.col(c).asc_nulls_first() for c in [*by, "_chunk"]]).rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*by, "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    return _add_before(rows, by, before), Window.partitionBy(*by, "_chunk").orderBy(F.col(order).asc_nulls_first())
+def _positions(df: DataFrame, order: list[str], name: str, chunk: int) -> DataFrame:
+    rows, parts = _ranges(df, order, chunk)
+    at = (F.col("_row") + F.coalesce("_before", F.lit(0))).cast("bigint")
+    return _with_before(rows, parts, F.count(F.lit(1))).withColumn(name, at).drop("_chunk", "_row", "_before")
 
 
 def row_position(df: DataFrame, order: str, by: list[str] | None = None, name: str = "pos", chunk: int = CHUNK) -> DataFrame:
-    """df with each row's position from 0 in the order (by, order). ``order``: a unique whole number."""
-    joined, window = _chunked(df, order, by or [], F.count(F.lit(1)), chunk)
-    return joined.withColumn(name, (F.row_number().over(window) - 1 + F.col("_before")).cast("bigint")).drop("_chunk", "_before")
+    """df with each row's position from 0 in the order (by, order). ``order``: unique, of any type that has an order."""
+    return _positions(df, [*(by or []), order], name, chunk)
+
 
+def position_within(df: DataFrame, by: list[str], order: str | list[str], name: str = "pos_in", chunk: int = CHUNK) -> DataFrame:
+    """df with each row's position from 0 among the rows of equal ``by``, NULLs being equal, in the order of ``order``.
 
-def position_within(df: DataFrame, by: list[str], order: str, name: str = "pos_in", chunk: int = CHUNK) -> DataFrame:
-    """df with each row's position from 0 among the rows of equal ``by``, in the order of ``order``."""
-    rows = _dealt(df, order, chunk)
-    sums = rows.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_sum"))
-    earlier = Window.partitionBy(*by).orderBy(F.col("_chunk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*by, "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    window = Window.partitionBy(*by, "_chunk").orderBy(F.col(order).asc_nulls_first())
-    return _add_before(rows, by, before).withColumn(name, (F.row_number().over(window) - 1 + F.col("_before")).cast("bigint")).drop("_chunk", "_before")
+    That is its position among all less that of the first row of equal ``by``.
+    """
+    rows = _positions(df, [*by, *([order] if isinstance(order, str) else order)], "_at", chunk)
+    first = rows.groupBy(*by).agg(F.min("_at").alias("_first")).withColumnsRenamed({c: f"_key{i}" for i, c in enumerate(by)})
+    on = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(by)))
+    out = rows.join(first, on).withColumn(name, F.col("_at") - F.col("_first"))
+    return out.drop("_at", "_first", *(f"_key{i}" for i in range(len(by))))
 
 
 def prefix_sum(df: DataFrame, value: str, order: str, start: int = 0, name: str = "prefix", by: list[str] | None = None) -> DataFrame:
-    """Inclusive running sum plus ``start`` by one window: for partitions that fit a task, or small tables."""
+    """Inclusive running sum plus ``start`` by one window: for partitions that fit a task, or small tables. NULL up to the first value."""
     w = Window.partitionBy(*(by or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn(name, F.sum(value).over(w) + F.lit(start))
 
 
 def prefix_sum_parallel(df: DataFrame, value: str, order: str, start: int = 0, name: str = "prefix", chunk: int = CHUNK) -> DataFrame:
-    """The same result in two phases, for tables of any size. ``order``: a unique whole number. Empty in, empty out."""
-    joined, window = _chunked(df, order, [], F.sum(value), chunk)
-    inside = F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return joined.withColumn(name, inside + F.col("_before") + F.lit(start)).drop("_chunk", "_before")
+    """The same in two phases, for tables of any size, NULLs included. ``order``: unique. Empty in, empty out."""
+    rows, parts = _ranges(df, [order], chunk)
+    inside = F.sum(value).over(Window.partitionBy("_chunk").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    joined = _with_before(rows, parts, F.sum(value)).withColumn("_inside", inside)
+    total = F.coalesce(F.col("_inside") + F.col("_before"), F.col("_inside"), F.col("_before"))
+    return joined.withColumn(name, total + F.lit(start)).drop("_chunk", "_row", "_before", "_inside")

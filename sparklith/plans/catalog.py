@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from sparklith.functions import expressions as X
 from sparklith.functions.hashing import bucket_id, row_hash
 from sparklith.functions.registry import Signature, default_registry
-from sparklith.functions.validity import both_valid, either_valid, is_valid, with_validity
+from sparklith.functions.validity import both_valid, either_valid, is_valid, same_validity, with_validity
 from sparklith.operators import joins, partitioning, positional, prefix
-from sparklith.sources import slice_rows, table
+from sparklith.sources import column, described, named, slice_rows, strings, table, take, view, write_table
+from sparklith.sources.shared import Workspace
 
-from .sql import project
+from .sql import expression_type, project
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,6 +65,25 @@ _scalar("eq_num", lambda d: X.eq(d, "l_partkey", "l_suppkey"), "l_partkey = l_su
 _scalar("eq_u64_bool", lambda d: X.eq(d, "l_linenumber", "same"), "l_linenumber = cast(same as bigint)")
 _scalar("eq_str", lambda d: X.eq(d, "l_returnflag", "l_linestatus"), "l_returnflag = l_linestatus")
 _scalar("eq_null", lambda d: X.eq(d, "part_or_null", "l_suppkey"), "part_or_null = l_suppkey")
+_scalar("eq_u64_u32", lambda d: X.eq(d, "l_suppkey", "l_linenumber"), "l_suppkey = l_linenumber")
+_scalar("eq_u64_u16", lambda d: X.eq(d, "l_suppkey", "n16"), "l_suppkey = n16")
+_scalar("eq_u64_u8", lambda d: X.eq(d, "l_suppkey", "n8"), "l_suppkey = n8")
+_scalar("eq_u32_u32", lambda d: X.eq(d, "l_linenumber", F.pmod(F.col("l_orderkey"), F.lit(8)).cast("int")), "l_linenumber = l_orderkey % 8")
+for _op, _build, _sign in (("gt", X.gt, ">"), ("ge", X.ge, ">=")):
+    _scalar(f"{_op}_u64_u32", lambda d, f=_build: f(d, "l_suppkey", "l_linenumber"), f"l_suppkey {_sign} l_linenumber")
+    _scalar(f"{_op}_u64_u16", lambda d, f=_build: f(d, "l_suppkey", "n16"), f"l_suppkey {_sign} n16")
+    _scalar(f"{_op}_u64_u8", lambda d, f=_build: f(d, "l_suppkey", "n8"), f"l_suppkey {_sign} n8")
+    _scalar(f"{_op}_u64_bool", lambda d, f=_build: f(d, "l_linenumber", "same"), f"l_linenumber {_sign} cast(same as bigint)")
+    _scalar(f"{_op}_u32_u32", lambda d, f=_build: f(d, "l_linenumber", "l_linenumber"), f"l_linenumber {_sign} l_linenumber")
+
+
+def _kernel(name: str, *roles: str) -> Callable[..., F.Column]:
+    """A registered kernel, to be applied to columns."""
+    return lambda *columns: default_registry().apply(name, list(columns), list(roles))[0]
+
+
+for _name, _sign in (("add", "+"), ("eq", "="), ("gt", ">"), ("ge", ">=")):
+    _scalar(f"{_name}_usize_usize", lambda d, k=_kernel(_sign, "usize", "usize"): k(F.col("l_partkey"), F.col("l_suppkey")), f"l_partkey {_sign} l_suppkey")
 _scalar("gt_num", lambda d: X.gt(d, "l_partkey", "l_suppkey"), "l_partkey > l_suppkey")
 _scalar("gt_null", lambda d: X.gt(d, "part_or_null", "l_linenumber"), "part_or_null > l_linenumber")
 _scalar("ge_num", lambda d: X.ge(d, "l_partkey", "l_suppkey"), "l_partkey >= l_suppkey")
@@ -98,6 +118,66 @@ def udf_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project(items(spark, sf_dir), "l_orderkey - l_partkey", strict=True, registry=registry)
 
 
+_TYPED = {"l_orderkey + l_partkey": "u64", "l_linenumber + l_linenumber": "u32", "l_orderkey >= l_linenumber": "bool", "l_returnflag = l_linestatus": "bool", "(l_orderkey + l_linenumber) + l_suppkey": "u64"}
+
+
+@query("expression_types", " union all ".join(f"select '{e}' as expression, '{r}' as role" for e, r in _TYPED.items()))
+def expression_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roles of strict expressions, found without running them."""
+    df = items(spark, sf_dir)
+    return spark.createDataFrame([(e, expression_type(df, e)) for e in _TYPED], "expression string, role string")
+
+
+# Sources and sinks.
+@query("source_memory", "select i as pos, i * i as value from (select unnest(range(1000)) as i)")
+def source_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column(spark, [i * i for i in range(1000)])
+
+
+@query("source_memory_null", "select i as pos, case when i % 3 <> 0 then i end as value from (select unnest(range(1000)) as i)")
+def source_memory_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column(spark, range(1000), valid=[i % 3 for i in range(1000)])
+
+
+@query("source_strings", "select i as pos, repeat('ab', cast(i % 8 as integer)) as value from (select unnest(range(1000)) as i)")
+def source_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strings(spark, ["ab" * (i % 8) for i in range(1000)])
+
+
+@query("source_view", "select n_name, r_name from nation join region on n_regionkey = r_regionkey")
+def source_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that SQL knows by name."""
+    view(table(spark, sf_dir, "nation"), "known_nation"), view(table(spark, sf_dir, "region"), "known_region")
+    return spark.sql("select n_name, r_name from known_nation join known_region on n_regionkey = r_regionkey")
+
+
+@query("named_column", "select o_orderkey as key_of_order from orders")
+def named_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return named(table(spark, sf_dir, "orders"), "o_orderkey", "key_of_order").select("key_of_order")
+
+
+@query("described_columns", "with x as (select count(*) as n, count(nullif(l_partkey, l_suppkey)) as v from lineitem) select 'l_orderkey' as name, 'u64' as role, false as indexed, n, n as valid from x union all select 'part_or_null', 'u64', false, n, v from x union all select 'n16', 'u16', false, n, n from x union all select 'l_returnflag', 'str', false, n, n from x")
+def described_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, role, index and validity of columns."""
+    return described(items(spark, sf_dir), ["l_orderkey", "part_or_null", "n16", "l_returnflag"])
+
+
+@query("sink_roundtrip", "select o_orderkey, o_orderstatus, o_custkey % 16 as bucket from orders")
+def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written in a folder a bucket, and read again."""
+    path = Workspace(spark, "sink").path
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", bucket_id("o_custkey", 4).alias("bucket"))
+    write_table(df, path, "bucket")
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@query("sink_take", "select cast(n_nationkey as bigint) as pos, n_name as value from nation")
+def sink_take(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column's values in order, taken with its role, on the driver; here as a column again."""
+    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("pos"), "n_name")
+    return strings(spark, take(df, "n_name", "str"))
+
+
 # Positions.
 def positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.with_position(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), "o_orderkey")
@@ -111,6 +191,18 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positioned(spark, sf_dir).select("o_orderkey", "pos")
 
 
+@query("positions_sparse", "select hash_key, row_number() over (order by hash_key) - 1 as pos from (select cast(o_orderkey * 7046029254386353 % 1152921504606846883 as bigint) as hash_key from (select cast(o_orderkey as hugeint) as o_orderkey from orders))")
+def positions_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions by keys that are spread over 2**60."""
+    key = (F.col("o_orderkey").cast("decimal(20,0)") * F.lit("7046029254386353").cast("decimal(17,0)")) % F.lit("1152921504606846883").cast("decimal(20,0)")
+    return positional.with_position(table(spark, sf_dir, "orders").select(key.cast("bigint").alias("hash_key")), "hash_key")
+
+
+@query("positions_of_strings", "select c_name, row_number() over (order by c_name) - 1 as pos from customer")
+def positions_of_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional.with_position(table(spark, sf_dir, "customer").select("c_name"), "c_name")
+
+
 @query("slice", f"select o_orderkey, pos - 100 as pos from ({_POS}) where pos >= 100 and pos < 1000")
 def sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slice_rows(positioned(spark, sf_dir), 100, 1000).select("o_orderkey", "pos")
@@ -146,10 +238,12 @@ def len_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.length(table(spark, sf_dir, "orders"))
 
 
-@query("len_logical", f"select count(*) as n from ({_POS}) where pos < 100")
+@query("len_logical", "select 2 * count(*) as n from orders")
 def len_logical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length of a column is that of its index: here every position stands twice in it."""
     df = positioned(spark, sf_dir)
-    return positional.length(positional.gather(df.select("pos", "o_orderkey"), _reversed_index(df).where("pos < 100")))
+    twice = df.select(F.explode(F.array(F.col("pos") * 2, F.col("pos") * 2 + 1)).alias("pos"), F.col("pos").alias("at"))
+    return positional.length(positional.gather(df.select("pos", "o_orderkey"), twice))
 
 
 # Joins.
@@ -199,9 +293,8 @@ def join_shuffle_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("join_bucketed", "select l_orderkey, l_partkey, o_custkey from lineitem join orders on l_orderkey = o_orderkey and l_partkey >= o_custkey")
 def join_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash, 2**6 buckets, and a join inside the buckets with the residual."""
-    l = partitioning.with_bucket(table(spark, sf_dir, "lineitem"), ["l_orderkey"], 6)
-    o = partitioning.with_bucket(table(spark, sf_dir, "orders"), ["o_orderkey"], 6)
+    """Both sides in 2**6 partitions by their keys, and a join inside each with the residual."""
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     return joins.bucketed_join(l, o, [("l_orderkey", "o_orderkey")], 6, "l_partkey >= o_custkey").select("l_orderkey", "l_partkey", "o_custkey")
 
 
@@ -212,6 +305,13 @@ def join_index_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.index_pairs(o, c, "o_custkey", "c_custkey")
 
 
+@query("join_even_hashes", f"with p as ({_POS}), c as (select c_custkey, row_number() over (order by c_custkey) - 1 as cpos from customer) select pos as left_pos, cpos as right_pos from p join c on o_custkey = c_custkey and o_custkey % 2 = 0")
+def join_even_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes that mark NULL by being odd; here the key is its own hash."""
+    c = positional.with_position(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    return joins.even_hash_pairs(positioned(spark, sf_dir), c, "o_custkey", "c_custkey")
+
+
 @query("filter_pairs", f"with p as ({_POS}), c as (select c_custkey, c_acctbal, row_number() over (order by c_custkey) - 1 as cpos from customer) select pos as left_pos, cpos as right_pos from p join c on o_custkey = c_custkey where o_totalprice >= c_acctbal * 10")
 def filter_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = positioned(spark, sf_dir)
@@ -269,6 +369,25 @@ def partition_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.partition_by_bucket(bucketed(spark, sf_dir)).select("o_orderstatus", "bucket", "pos_in")
 
 
+@query("partition_validity", f"select bucket, row_number() over (partition by bucket order by pos) - 1 as pos_in, o_custkey % 3 <> 0 as valid from ({_BUCKETS})")
+def partition_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NULLs go where their rows go."""
+    return partitioning.partition_by_bucket(_masked(spark, sf_dir)).select("bucket", "pos_in", is_valid(F.col("value")).alias("valid"))
+
+
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows with ``value``: the status, NULL where the customer's key is divisible by 3."""
+    return bucketed(spark, sf_dir).withColumn("value", with_validity(F.col("o_orderstatus"), F.pmod(F.col("o_custkey"), F.lit(3))))
+
+
+@query("validity_equal", f"with a as (select o_custkey % 3 <> 0 as f from orders), b as (select o_custkey % 5 <> 0 as f from orders) select true as same, not exists ((select * from a except all select * from b) union all (select * from b except all select * from a)) as other")
+def validity_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Are the flags of a column those of its partitions; are they those of another column."""
+    flags = lambda n: table(spark, sf_dir, "orders").select((F.pmod(F.col("o_custkey"), F.lit(n)) != 0).alias("f"))
+    parts = partition_validity(spark, sf_dir).select(F.col("valid").alias("f"))
+    return spark.createDataFrame([(same_validity(flags(3), parts), same_validity(flags(3), flags(5)))], "same boolean, other boolean")
+
+
 @query("partition_lengths", f"select bucket, count(*) as n from ({_BUCKETS}) group by 1")
 def partition_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.partition_lengths(bucketed(spark, sf_dir))
@@ -283,6 +402,30 @@ def repartition_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.repartition_bucket(df, bucket_id("o_orderkey", 2)).select("o_orderkey", "bucket2", "pos_in2")
 
 
+_MASK = f"with a as (select *, row_number() over (partition by bucket order by pos) - 1 as pos_in from ({_BUCKETS})), c as (select o_orderkey, o_orderkey % 4 as bucket2, case when o_custkey % 3 <> 0 then o_orderstatus end as value, row_number() over (partition by o_orderkey % 4 order by bucket, pos_in) - 1 as pos_in2 from a)"
+
+
+def _again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitioning.repartition_bucket(partitioning.partition_by_bucket(_masked(spark, sf_dir)), bucket_id("o_orderkey", 2))
+
+
+@query("repartition_strings", f"{_MASK} select bucket2, pos_in2, value from c")
+def repartition_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _again(spark, sf_dir).select("bucket2", "pos_in2", "value")
+
+
+@query("repartition_validity", f"{_MASK} select bucket2, pos_in2, value is not null as valid from c")
+def repartition_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _again(spark, sf_dir).select("bucket2", "pos_in2", is_valid(F.col("value")).alias("valid"))
+
+
+@query("histogram_of_partitions", f"with b as ({_BUCKETS}), g as (select c as chunk, k as bucket2 from (select unnest(range(16)) as c), (select unnest(range(4)) as k)), n as (select g.chunk, g.bucket2, count(b.pos) as n from g left join b on b.bucket = g.chunk and b.o_orderkey % 4 = g.bucket2 group by 1, 2) select chunk, bucket2, n, cast(coalesce(sum(n) over (partition by bucket2 order by chunk rows between unbounded preceding and 1 preceding), 0) as bigint) as \"offset\" from n")
+def histogram_of_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each partition go to each new bucket, and where they begin there."""
+    df = bucketed(spark, sf_dir).withColumn("bucket2", bucket_id("o_orderkey", 2))
+    return partitioning.bucket_histogram(df, 4, "bucket2", chunk="bucket", chunks=16).withColumnRenamed("bucket", "bucket2")
+
+
 @query("chunk_fixed", f"select o_orderkey, pos // 7 as chunk from ({_POS})")
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.chunk(positioned(spark, sf_dir), 7).select("o_orderkey", "chunk")
@@ -334,17 +477,49 @@ def hash_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("h").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("l_linestatus"), F.min("l_linenumber").alias("l_linenumber"), F.count(F.lit(1)).alias("n")).drop("h")
 
 
+_HASHED = f"with b as ({_BUCKETS}) select bucket, o_orderstatus, o_custkey % 7 as k, count(*) as n from b group by 1, 2, 3"
+
+
+@query("hash_partitioned", _HASHED)
+def hash_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that are partitioned already are hashed, and a further one is added to the hash, by registered kernels."""
+    df = partitioning.partition_by_bucket(bucketed(spark, sf_dir)).withColumn("k", F.pmod(F.col("o_custkey"), F.lit(7)))
+    first = _kernel("hash=", "str")(F.col("o_orderstatus"))
+    df = df.withColumn("h", _kernel("hash+=", "u64", "u64")(first, F.col("k")))
+    return df.groupBy("bucket", "h").agg(F.min("o_orderstatus").alias("o_orderstatus"), F.min("k").alias("k"), F.count(F.lit(1)).alias("n")).drop("h")
+
+
 @query("hash_null", "select count(*) as n, count(nullif(l_partkey, l_suppkey)) as valid from lineitem")
 def hash_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The combined hash is valid where all its columns are."""
     return items(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count(row_hash("l_orderkey", "part_or_null")).alias("valid"))
 
 
-@query("string_hash_partition", None)
-def string_hash_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strings hashed into 2**10 buckets, put there physically, counted and flattened."""
+def _string_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings hashed into 2**10 buckets, put there physically, partitioned and flattened."""
     df = partitioning.with_bucket(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_name"], 10)
-    return partitioning.flatten(partitioning.partition_by_bucket(df, pos="c_custkey")).select("c_custkey", "c_name", "bucket", "flat")
+    parts = partitioning.partition_by_bucket(df, pos="c_custkey")
+    placed = partitioning.place(parts, 10, partitions=spark.sparkContext.defaultParallelism)
+    return partitioning.flatten(placed)
+
+
+@query("string_hash_partition", "select c_custkey, c_name, 1 as buckets, true as inside from customer")
+def string_hash_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every string of the flat column with the number of buckets it is in, and whether it lies inside its bucket's span there."""
+    flat = _string_partition(spark, sf_dir)
+    lengths = partitioning.partition_lengths(flat).withColumnRenamed("n", "size")
+    spans = flat.groupBy("bucket").agg(F.min("flat").alias("first"), F.max("flat").alias("last")).join(lengths, "bucket")
+    spans = spans.select("bucket", "first", (F.col("last") - F.col("first") + 1 == F.col("size")).alias("whole"))
+    kinds = flat.groupBy("c_name").agg(F.count_distinct("bucket").cast("int").alias("buckets"))
+    rows = flat.join(spans, "bucket").join(kinds, "c_name")
+    return rows.select("c_custkey", "c_name", "buckets", (F.col("whole") & (F.col("flat") == F.col("first") + F.col("pos_in"))).alias("inside"))
+
+
+@query("string_hash_flat", "select count(*) as n, count(*) as places, 0 as first, count(*) - 1 as last from customer")
+def string_hash_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat positions are those of a table without gaps."""
+    flat = _string_partition(spark, sf_dir)
+    return flat.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("flat").alias("places"), F.min("flat").cast("int").alias("first"), F.max("flat").alias("last"))
 
 
 @query("prefix_sum", "select o_orderkey, cast(sum(o_custkey) over (order by o_orderkey) + 1 as bigint) as prefix from orders")
@@ -355,3 +530,13 @@ def prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("prefix_sum_parallel", "select o_orderkey, cast(sum(o_custkey) over (order by o_orderkey) + 1 as bigint) as prefix from orders")
 def prefix_sum_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix.prefix_sum_parallel(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", 1, chunk=4096).select("o_orderkey", "prefix")
+
+
+_SOME = "select o_orderkey, case when o_custkey % 3 = 0 and o_orderkey > 400 then o_custkey end as v from orders"
+
+
+@query("prefix_sum_null", f"select o_orderkey, cast(sum(v) over (order by o_orderkey) + 1 as bigint) as prefix from ({_SOME})")
+def prefix_sum_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NULL up to the first value, then each NULL has the sum so far."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.when((F.col("o_custkey") % 3 == 0) & (F.col("o_orderkey") > 400), F.col("o_custkey")).alias("v"))
+    return prefix.prefix_sum_parallel(df, "v", "o_orderkey", 1, chunk=128).select("o_orderkey", "prefix")

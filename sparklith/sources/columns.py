@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparklith.functions.types import SPARK_TYPE
+from sparklith.functions.types import SPARK_TYPE, role_of
 from sparklith.functions.validity import with_validity
 
 
@@ -45,6 +45,20 @@ def attach_validity(df: DataFrame, name: str, flag: str) -> DataFrame:
     return df.withColumn(name, with_validity(F.col(name), F.col(flag))).drop(flag)
 
 
+def view(df: DataFrame, name: str) -> DataFrame:
+    """The table under a name that SQL can use; nothing is copied."""
+    df.createOrReplaceTempView(name)
+    return df.sparkSession.table(name)
+
+
+def described(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``name, role, indexed, n, valid`` for each column: what it is, whether positions stand beside it, rows and rows that are not NULL."""
+    names = [c for c in (columns or df.columns) if c != "pos"]
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *(F.count(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(names)))
+    rows = [F.struct(F.lit(c).alias("name"), F.lit(role_of(df.schema[c].dataType)).alias("role"), F.lit("pos" in df.columns).alias("indexed"), F.col("n"), F.col(f"v{i}").alias("valid")) for i, c in enumerate(names)]
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def take(df: DataFrame, name: str, role: str | None = None, pos: str = "pos") -> list:
     """A column's values in order, on the driver: for small results. With a role, an error if the type is another one."""
     kind = df.schema[name].dataType

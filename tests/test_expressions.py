@@ -137,3 +137,9 @@ def test_types_of_expressions(spark):
     assert expression_type(df, "n+m") == "u32"
     assert expression_type(df, "a>n") == "bool"
     assert parse("a+(b)") == parse("SELECT a + ( b )")
+
+
+def test_a_name_that_begins_with_select(spark):
+    df = spark.createDataFrame([(1, 5), (2, 5)], "selected bigint, b bigint")
+    for text in ("selected + b", " SELECT  selected + b", "select\nselected + b"):
+        assert [r[0] for r in project(df, text).collect()] == [6, 7]

@@ -95,3 +95,42 @@ def test_parallel_prefix_sum_is_the_serial_one(spark, n):
     assert a == W.prefix_sum_parallel(df, "value", "pos", 1, chunk=8).orderBy("pos").collect()
     with pytest.raises(ValueError):
         W.prefix_sum_parallel(df, "value", "pos", chunk=3)
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 8])
+def test_parallel_prefix_sum_with_nulls(spark, chunk):
+    rnd = random.Random(chunk)
+    for values in ([None, 2, None, 3], [None] * 5, [1, None, None], [rnd.choice([None, None, 4, -9]) for _ in range(40)]):
+        df = column(spark, [x or 0 for x in values], valid=[x is not None for x in values])
+        a = W.prefix_sum(df, "value", "pos", 1).orderBy("pos").collect()
+        assert a == W.prefix_sum_parallel(df, "value", "pos", 1, chunk=chunk).orderBy("pos").collect()
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 8])
+def test_positions_by_sparse_and_clumped_keys(spark, chunk):
+    rnd = random.Random(chunk)
+    for keys in (rnd.sample(range(1 << 62), 60), [10**15 + i for i in range(40)] + [-(10**15), 7]):
+        df = spark.createDataFrame([(x, x % 3) for x in keys], "k bigint, b bigint")
+        assert [r["pos"] for r in W.row_position(df, "k", chunk=chunk).orderBy("k").collect()] == list(range(len(keys)))
+        by = W.position_within(df, ["b"], "k", chunk=chunk).orderBy("b", "k").collect()
+        assert [r["pos_in"] for r in by] == [i for b in range(3) for i in range(sum(x % 3 == b for x in keys))]
+
+
+def test_ranges_are_even(spark):
+    """Keys spread over 2**60: no range has a multiple of the rows of another one."""
+    df = spark.range(20_000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 60)).alias("k"))
+    rows, parts = W._ranges(df, ["k"], 1024)
+    counts = [r["count"] for r in rows.groupBy("_chunk").count().collect()]
+    assert parts == 20 and len(counts) == 20 and max(counts) < 3 * min(counts)
+
+
+def test_bucketed_join_has_no_other_exchange(spark):
+    left, right = spark.range(1000).withColumn("v", F.col("id")), spark.range(1000).select(F.col("id").alias("k"), F.col("id").alias("w"))
+    plan = J.bucketed_join(left, right, [("id", "k")], 4)._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("Exchange") == 2 and "REPARTITION_BY_NUM" in initial
+
+
+def test_even_hash_pairs(spark):
+    left, right = column(spark, [2, 3, 4, None, -6], name="h"), column(spark, [4, 3, 2, 2, -6], name="h")
+    assert {tuple(r) for r in J.even_hash_pairs(left, right, "h", "h").collect()} == {(0, 2), (0, 3), (2, 0), (4, 4)}

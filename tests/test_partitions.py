@@ -135,3 +135,10 @@ def test_columns_in_memory(spark, tmp_path):
     assert take(attach_validity(flagged, "n", "f"), "n") == [None, None, None]
     write_table(df.withColumn("bucket", F.col("pos") % 2), str(tmp_path / "t"), "bucket")
     assert spark.read.parquet(str(tmp_path / "t")).where("bucket = 0").count() == 2
+
+
+def test_placement_into_fewer_partitions(spark):
+    df = P.place(P.with_bucket(column(spark, range(500)), ["value"], 6), 6, partitions=5)
+    assert df.rdd.getNumPartitions() == 5
+    at = df.select("bucket", F.spark_partition_id().alias("p")).distinct().orderBy("bucket").collect()
+    assert len({r["bucket"] for r in at}) == len(at) and [r["p"] for r in at] == sorted(r["p"] for r in at)
