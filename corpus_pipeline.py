@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparklith.llm import decontaminate, minhash, packing, quality, substring
 from sparklith.llm.storage import Workspace
+from sparklith.sources.shared import live, release
 
 #: The documents' quality must be at least this likely.
 QUALITY = 0.3
@@ -69,9 +70,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written to the shared folder and read again."""
-    work = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what each returns is written to the shared folder and read again.
+
+    When a stage's table is written, what the stage has left in the shared folder is deleted, and the table before.
+    """
+    others, work = live(), Workspace(spark, "pipeline")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = work.table(stage(spark, docs, sf_dir), name)
+        release(but=others | {work.path})
+        if last:
+            work.drop(last)
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -39,10 +39,15 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def release() -> None:
-    """Delete all workspaces of this driver. Tables that a query returned can't be read any more."""
-    for work in list(_LIVE.values()):
-        work.drop()
+def live() -> set[str]:
+    """The paths of all workspaces of this driver."""
+    return set(_LIVE)
+
+
+def release(but: set[str] = frozenset()) -> None:
+    """Delete all workspaces of this driver but those named. Tables that a query returned can't be read any more."""
+    for path in set(_LIVE) - set(but):
+        _LIVE[path].drop()
 
 
 @atexit.register
