@@ -18,7 +18,7 @@ from sparklith.sources.shared import Workspace
 #: Rows of a range, about; ranges whose totals are broadcast (16 bytes each).
 CHUNK, MOST_BROADCAST = 1 << 20, 1 << 20
 #: Smaller ranges than this are not made for the sake of parallel tasks.
-LEAST = 1 << 14
+LEAST = 1 << 17
 
 
 def _ranges(df: DataFrame, order: list[str], chunk: int) -> tuple[DataFrame, int]:

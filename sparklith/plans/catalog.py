@@ -506,10 +506,8 @@ def _string_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("string_hash_partition", "select c_custkey, c_name, 1 as buckets, true as inside from customer")
 def string_hash_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every string of the flat column with the number of buckets it is in, and whether it lies inside its bucket's span there."""
-    flat = _string_partition(spark, sf_dir)
-    lengths = partitioning.partition_lengths(flat).withColumnRenamed("n", "size")
-    spans = flat.groupBy("bucket").agg(F.min("flat").alias("first"), F.max("flat").alias("last")).join(lengths, "bucket")
-    spans = spans.select("bucket", "first", (F.col("last") - F.col("first") + 1 == F.col("size")).alias("whole"))
+    flat = Workspace(spark, "flat").table(_string_partition(spark, sf_dir), "flat")
+    spans = flat.groupBy("bucket").agg(F.min("flat").alias("first"), (F.max("flat") - F.min("flat") + 1 == F.count(F.lit(1))).alias("whole"))
     kinds = flat.groupBy("c_name").agg(F.count_distinct("bucket").cast("int").alias("buckets"))
     rows = flat.join(spans, "bucket").join(kinds, "c_name")
     return rows.select("c_custkey", "c_name", "buckets", (F.col("whole") & (F.col("flat") == F.col("first") + F.col("pos_in"))).alias("inside"))
