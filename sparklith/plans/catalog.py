@@ -203,6 +203,12 @@ def positions_of_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.with_position(table(spark, sf_dir, "customer").select("c_name"), "c_name")
 
 
+@query("positions_in_ranges", f"select o_orderkey, pos from ({_POS})")
+def positions_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions as they are found in a table of many ranges."""
+    return prefix.row_position(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", chunk=4096)
+
+
 @query("slice", f"select o_orderkey, pos - 100 as pos from ({_POS}) where pos >= 100 and pos < 1000")
 def sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slice_rows(positioned(spark, sf_dir), 100, 1000).select("o_orderkey", "pos")
@@ -364,6 +370,12 @@ def partition_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.partition_by_bucket(bucketed(spark, sf_dir)).select("o_orderkey", "bucket", "pos_in")
 
 
+@query("partition_in_ranges", f"select o_orderkey, bucket, row_number() over (partition by bucket order by pos) - 1 as pos_in from ({_BUCKETS})")
+def partition_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stable partition of a table of many ranges: a bucket's rows are in several tasks."""
+    return prefix.position_within(bucketed(spark, sf_dir), ["bucket"], "pos", chunk=4096).select("o_orderkey", "bucket", "pos_in")
+
+
 @query("partition_strings", f"select o_orderstatus, bucket, row_number() over (partition by bucket order by pos) - 1 as pos_in from ({_BUCKETS})")
 def partition_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.partition_by_bucket(bucketed(spark, sf_dir)).select("o_orderstatus", "bucket", "pos_in")
