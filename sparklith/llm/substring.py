@@ -8,7 +8,7 @@ their smallest run, so a level looks at a fraction of all runs and yet loses no
 
 Equal texts are one class, known by two 64-bit hashes of the text. After the first level only one row of a class is
 carried on, with a weight of two if there are more; so copies, however many, are looked at once. Of it the word hashes of
-regions with surviving windows are kept. Runs are counted with partial aggregation and joined back by hash, so that a
+regions with surviving windows are kept, in one row, so that the places of its repeated runs meet them once. Runs are counted with partial aggregation and joined back by hash, so that a
 passage that stands in very many documents is no single task's work. What is read twice is written first.
 
 Runs are compared by hashes: 64 bits up to the last level, which can only let a window through to the next one, and
@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,10 @@ from .storage import Workspace, ship_code
 from .text import U64, Words, blocks, mix, rolling
 
 KEY = ["h", "g"]
-REGION = "h long, g long, w int, first long, words binary, live binary"
+#: A text's regions: where each begins in the text, its length, and all their words and flags of live windows.
+REGIONS = "h long, g long, w int, firsts array<int>, sizes array<int>, words binary, live binary"
+#: Words of regions worked on at a time; those of one text stay together.
+ROOM = 1 << 18
 _LOW = U64(0xFFFFFFFF)
 
 
@@ -104,7 +108,7 @@ def _repeated(found: DataFrame, by: list[str], weight: F.Column, gather: Callabl
 
 
 def _regions(texts: DataFrame, n: int, length: int) -> DataFrame:
-    """``h, g, w, first, words, live`` from (h, g, w, text, at): word hashes of the regions that surviving windows cover."""
+    """:data:`REGIONS` from (h, g, w, text, at): word hashes of the regions that surviving windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,45 +121,72 @@ def _regions(texts: DataFrame, n: int, length: int) -> DataFrame:
                     known[words.bounds[i] + lists[row + i].values.to_numpy(zero_copy_only=False)] = True
                 live = _starts(words.bounds, n)
                 if len(live):
-                    yield from _cut(words.hash, words.bounds, live, known, n, length, [x[row:end] for x in own], np.zeros(end - row, np.int64))
+                    whole = np.zeros(end - row, np.int64), np.arange(end - row)  # each text is one region from its first word on
+                    yield from _cut(words.hash, words.bounds, live, known, n, length, [x[row:end] for x in own], *whole)
 
-    return texts.select(*KEY, "w", "text", "at").mapInArrow(run, REGION)
+    return texts.select(*KEY, "w", "text", "at").mapInArrow(run, REGIONS)
 
 
-def _cut(words, bounds, live, known, n, length, own, firsts) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    """The regions of windows in ``live`` whose smallest run is ``known``."""
+def _cut(words, bounds, live, known, n, length, own, firsts, owner) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """The regions of windows in ``live`` whose smallest run is ``known``, a row a text.
+
+    ``firsts`` and ``owner``: for each region before, its first word's place in the text, and the text's row in ``own``.
+    """
     _, at = runs(words, live, n, length)
     live = live[known[at]]
     if not len(live):
         return
-    doc = np.searchsorted(bounds, live, "right") - 1
-    new = np.concatenate([[True], (live[1:] > live[:-1] + n) | (doc[1:] != doc[:-1])])
-    head = np.flatnonzero(new)
-    start, stop = live[head], live[np.concatenate([head[1:], [len(live)]]) - 1] + n
+    part = np.searchsorted(bounds, live, "right") - 1
+    head = np.flatnonzero(np.concatenate([[True], (live[1:] > live[:-1] + n) | (part[1:] != part[:-1])]))
+    start, stop, part = live[head], live[np.concatenate([head[1:], [len(live)]]) - 1] + n, part[head]
     flag = np.zeros(len(words), bool)
     flag[live] = True
-    d = doc[head]
+    sizes, row = stop - start, owner[part]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    within = np.arange(ends[-1]) + np.repeat(start - ends[:-1], sizes)
+    words, flag = words[within], flag[within]
+    text = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    edges = np.concatenate([text, [len(row)]]).astype(np.int32)
+    spans = list(zip(ends[edges[:-1]], ends[edges[1:]]))
+    lists = {"firsts": firsts[part] + start - bounds[part], "sizes": sizes}
     yield _batch(
         {
-            **{name: x[d] for name, x in zip((*KEY, "w"), own)},
-            "first": firsts[d] + start - bounds[d],
-            "words": pa.array([words[a:b].tobytes() for a, b in zip(start, stop)], pa.binary()),
-            "live": pa.array([np.packbits(flag[a:b]).tobytes() for a, b in zip(start, stop)], pa.binary()),
+            **{name: x[row[text]] for name, x in zip((*KEY, "w"), own)},
+            **{name: pa.ListArray.from_arrays(pa.array(edges), pa.array(x.astype(np.int32))) for name, x in lists.items()},
+            "words": pa.array([words[a:b].tobytes() for a, b in spans], pa.binary()),
+            "live": pa.array([np.packbits(flag[a:b]).tobytes() for a, b in spans], pa.binary()),
         }
     )
 
 
-def _opened(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, bounds, live window starts) of a batch of regions."""
-    words = [np.frombuffer(x, U64) for x in batch.column("words").to_pylist()]
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int64)
-    flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(w)) for x, w in zip(batch.column("live").to_pylist(), words)]
-    return (np.concatenate(words), bounds, np.flatnonzero(np.concatenate(flags))) if words else (np.zeros(0, U64), bounds, np.zeros(0, np.int64))
+class _Opened:
+    """A batch of :data:`REGIONS`: word hashes, ``bounds`` of regions in them, live window starts, ``firsts`` and ``owner`` of regions."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        words = [np.frombuffer(x, U64) for x in batch.column("words").to_pylist()]
+        flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(w)) for x, w in zip(batch.column("live").to_pylist(), words)]
+        self.words, self.live = np.concatenate(words), np.flatnonzero(np.concatenate(flags))
+        self.bounds = np.concatenate([[0], np.cumsum(_items(batch.column("sizes")))]).astype(np.int64)
+        self.firsts, self.owner = _items(batch.column("firsts")), _rows(batch.column("firsts"))
+
+
+def _items(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+def _rows(lists: pa.ListArray) -> np.ndarray:
+    """For each item, its list's row."""
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _pieces(batch: pa.RecordBatch, room: int = ROOM) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with ``room`` words at most; a row with more stands alone."""
+    ends = np.cumsum(pc.binary_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64) // 8)
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + room, "right")))
+        yield batch.slice(i, j - i)
+        i = j
 
 
 def _next_level(regions: DataFrame, n: int, length: int) -> DataFrame:
@@ -164,15 +195,13 @@ def _next_level(regions: DataFrame, n: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _pieces(whole):
-                words, bounds, live = _opened(batch)
-                if not len(live):
-                    continue
-                h, at = runs(words, live, n, length)
+                o = _Opened(batch)
+                h, at = runs(o.words, o.live, n, length)
                 at = np.unique(at)
-                again = rolling(mix(words ^ U64(0x5851F42D4C957F2D)), length)
-                doc = np.searchsorted(bounds, at, "right") - 1
-                own = {k: batch.column(k).to_numpy(zero_copy_only=False)[doc] for k in (*KEY, "w", "first")}
-                place = (own.pop("first") + at - bounds[doc]).astype(np.int32)
+                again = rolling(mix(o.words ^ U64(0x5851F42D4C957F2D)), length)
+                part = np.searchsorted(o.bounds, at, "right") - 1
+                own = {k: batch.column(k).to_numpy(zero_copy_only=False)[o.owner[part]] for k in (*KEY, "w")}
+                place = (o.firsts[part] + at - o.bounds[part]).astype(np.int32)
                 yield _batch({"run": h[at].view(np.int64), "run2": again[at].view(np.int64), **own, "at": place})
 
     return regions.mapInArrow(run, "run long, run2 long, h long, g long, w int, at int")
@@ -184,16 +213,16 @@ def _shrunk(regions: DataFrame, n: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _pieces(whole):
-                words, bounds, live = _opened(batch)
-                known = np.zeros(len(words), bool)
-                firsts = batch.column("first").to_numpy(zero_copy_only=False)
-                for i, x in enumerate(batch.column("at")):
-                    at = x.values.to_numpy(zero_copy_only=False) - firsts[i]
-                    known[bounds[i] + at[(at >= 0) & (at < bounds[i + 1] - bounds[i])]] = True
+                o = _Opened(batch)
+                at, row = _items(batch.column("at")), _rows(batch.column("at"))
+                # Regions are in the order of texts and places; a run lies in the last one that begins at or before it.
+                part = np.searchsorted((o.owner << 32) + o.firsts, (row << 32) + at, "right") - 1
+                known = np.zeros(len(o.words), bool)
+                known[o.bounds[part] + at - o.firsts[part]] = True
                 own = [batch.column(k).to_numpy(zero_copy_only=False) for k in (*KEY, "w")]
-                yield from _cut(words, bounds, live, known, n, length, own, firsts)
+                yield from _cut(o.words, o.bounds, o.live, known, n, length, own, o.firsts, o.owner)
 
-    return regions.mapInArrow(run, REGION)
+    return regions.mapInArrow(run, REGIONS)
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, n: int, work: Workspace) -> DataFrame:
