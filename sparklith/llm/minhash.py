@@ -6,14 +6,14 @@ rounds end when all bins are full, and the last t rounds fill every bin for cert
 with a probability equal to their similarity, with concentration bounds as for independent minima.
 
 Documents with equal sets are one class. Classes that share a band of coordinates meet in a bucket, where full sets
-are compared by prefixes: in one order of all shingles, rare ones first, two sets of similarity p share a shingle among
-the first (1 - p) n + 1 of each; who shares none is not compared. A class is compared with those alone that it is not
-connected with yet, which gives a spanning forest of the links, not all pairs. Buckets larger than a chunk are dealt
-into chunks, in two ways. What a chunk cannot see, links across chunks, is found in a second step: the members of all
-large buckets that are still in several components meet anew, by each shingle of their prefixes. Only if so many of
-several components share one of these rare shingles that a chunk can't hold them, those outside the largest component
-go to every chunk. Buckets whose members are in one component already are left out, and buckets with equal members are
-one bucket.
+are compared. A class is compared with those alone that it is not connected with yet, which gives a spanning forest of
+the links, not all pairs. Buckets larger than a chunk are dealt into chunks, in two ways. What a chunk cannot see, links
+across chunks, is found in a second step: the members of all large buckets that are still in several components meet
+anew, by each shingle of their prefixes: in one order of all shingles, rare ones first, two sets of similarity p share a
+shingle among the first (1 - p) n + 1 of each. Only if so many of several components share one of these rare shingles
+that a chunk can't hold them, those outside the largest component are compared with all of them, each pair in one cell
+whatever the number of shingles that it shares. Buckets whose members are in one component already are left out, and
+buckets with equal members are one bucket.
 
 A set is known by 128 bits made from its shingles' hashes, a shingle by 64 bits, a word by 64 bits: what is equal in
 these counts as equal.
@@ -121,47 +121,47 @@ def prefix_sizes(sizes: np.ndarray, percent: int) -> np.ndarray:
     return sizes - -(-percent * sizes // 100) + 1
 
 
-def forest(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def forest(sets: list[np.ndarray], group: np.ndarray, percent: int, asks: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that, with the given groups, connect all that any links connect; a link: similarity of at least percent/100.
 
-    Members of one group are connected already. Every member outside the largest group is compared with all members
-    that share a shingle of its prefix, are near in size, and that it is not connected with yet. No set is empty.
+    Members of one group are connected already. Every member outside the largest group, or every one that ``asks`` marks,
+    is compared with all members that it is not connected with yet. No set is empty. Shingles that a quarter of the
+    sets hold are counted by a product of matrices, of at most 16 bytes a shingle of all sets, the others by their holders.
     """
     m = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, m)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
     _, kind, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(count), np.int64)
-    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
     owner = np.repeat(np.arange(m), sizes)
-    items = np.sort(owner * len(count) + rank[kind]) % len(count)  # each set's shingles, rare ones first
-    first = np.arange(len(items)) - bounds[owner] < prefix_sizes(sizes, percent)[owner]
-    prefix, holder = items[first], owner[first]
+    shared = count > 1
+    common = shared & (4 * count >= m)
+    column, few = (np.cumsum(common) - 1)[kind], (shared & ~common)[kind]
+    held = common[kind]
+    dense = np.zeros((m, int(common.sum())), np.float32)
+    dense[owner[held], column[held]] = 1
+    rare, holder = kind[few], owner[few]
     ends = np.concatenate([[0], np.cumsum(np.bincount(holder, minlength=m))])
-    order = np.argsort(prefix, kind="stable")
-    by_item, holders = prefix[order], holder[order]
+    order = np.argsort(rare, kind="stable")
+    by_item, holders = rare[order], holder[order]
+    lo, hi = np.searchsorted(by_item, rare, "left"), np.searchsorted(by_item, rare, "right")
     label = np.unique(group, return_inverse=True)[1]
-    asks = np.flatnonzero(label != np.argmax(np.bincount(label)))
+    asks = np.flatnonzero(label != np.argmax(np.bincount(label)) if asks is None else asks)
     left = int(label.max()) + 1  # components
-    own, links = np.zeros(len(count), bool), []
-    for i in asks.tolist():
+    links = []
+    for at in range(0, len(asks), 256):
         if left == 1:
             break
-        mine = prefix[ends[i] : ends[i + 1]]
-        who = np.unique(holders[_ranges(np.searchsorted(by_item, mine, "left"), np.searchsorted(by_item, mine, "right"))])
-        who = who[(label[who] != label[i]) & (percent * sizes[i] <= 100 * sizes[who]) & (percent * sizes[who] <= 100 * sizes[i])]
-        if not len(who):
-            continue
-        own[items[bounds[i] : bounds[i + 1]]] = True
-        hits = own[items[_ranges(bounds[who], bounds[who + 1])]]
-        own[items[bounds[i] : bounds[i + 1]]] = False
-        common = np.add.reduceat(hits, np.cumsum(sizes[who]) - sizes[who], dtype=np.int64)
-        near = who[100 * common >= percent * (sizes[who] + sizes[i] - common)]
-        merged, at = np.unique(label[near], return_index=True)
-        if len(merged):
-            links += [(i, int(near[k])) for k in at]
-            label[np.isin(label, merged)] = label[i]
-            left -= len(merged)
+        some = asks[at : at + 256]
+        for i, both in zip(some.tolist(), dense[some] @ dense.T):
+            if left == 1:
+                break
+            own = slice(ends[i], ends[i + 1])
+            both = both.astype(np.int64) + np.bincount(holders[_ranges(lo[own], hi[own])], minlength=m)
+            near = np.flatnonzero((label != label[i]) & (100 * both >= percent * (sizes + sizes[i] - both)))
+            merged, first = np.unique(label[near], return_index=True)
+            if len(merged):
+                links += [(i, int(near[k])) for k in first]
+                label[np.isin(label, merged)] = label[i]
+                left -= len(merged)
     return links
 
 
@@ -206,13 +206,17 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _links_within(groups: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` from rows (bucket, chunk, node, root, items): the forest of each (bucket, chunk)."""
+    """``a, b`` from rows (bucket, chunk, node, root, ask, items): the forest of each (bucket, chunk).
+
+    Where ``ask`` is null, those outside the chunk's largest component ask.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         node = table.column("node").combine_chunks().to_pylist()
         sets = [np.frombuffer(x, U64) for x in table.column("items").to_pylist()]
         root = np.array([x.hex() for x in table.column("root").to_pylist()])
-        found = forest(sets, root, percent)
+        ask = table.column("ask")
+        found = forest(sets, root, percent, None if ask.null_count else ask.to_numpy().astype(bool))
         return pa.table({"a": pa.array([node[i] for i, _ in found], pa.binary()), "b": pa.array([node[j] for _, j in found], pa.binary())})
 
     return groups.groupBy("bucket", "chunk").applyInArrow(run, "a binary, b binary")
@@ -279,7 +283,7 @@ def _components(spark: SparkSession, docs: DataFrame, words: int, percent: int,
     # different ways have in common connect these, so the group is one component after this step, as a rule.
     ways = F.array(*[(F.lit(w) * F.col("parts") + F.pmod(F.xxhash64("node", F.lit(w)), F.col("parts"))).cast("long") for w in range(WAYS)])
     salt = F.explode(F.when(F.col("parts") > 1, ways).otherwise(F.array(F.lit(0).cast("long")))).alias("chunk")
-    first = members.where("early").select("bucket", salt, "node").join(sets, "node").withColumn("root", F.col("node"))
+    first = members.where("early").select("bucket", salt, "node").join(sets, "node").withColumns({"root": F.col("node"), "ask": F.lit(None).cast("boolean")})
     links = work.table(_links_within(first, percent), "links-1")
     roots = components(links, work, "roots-1")
 
@@ -290,7 +294,8 @@ def _components(spark: SparkSession, docs: DataFrame, words: int, percent: int,
     tally = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root")).alias("top"))
     tally = work.table(tally.where("roots > 1").select("bucket", F.col("top.root").alias("top")), "tally")
     live = work.table(open_.join(tally, "bucket").select("bucket", "node", "root", "parts"), "live")
-    dealt, large = live.where("parts = 1").select("bucket", F.lit(0).cast("long").alias("chunk"), "node", "root"), live.where("parts > 1")
+    nobody = F.lit(None).cast("boolean").alias("ask")
+    dealt, large = live.where("parts = 1").select("bucket", F.lit(0).cast("long").alias("chunk"), "node", "root", nobody), live.where("parts > 1")
     if not large.isEmpty():
         hot = work.table(large.select("node", "root").distinct().join(sets, "node"), "hot")
         held = work.table(prefixes(hot, percent), "held")
@@ -298,13 +303,22 @@ def _components(spark: SparkSession, docs: DataFrame, words: int, percent: int,
         groups = by_root.groupBy("item").agg(F.count(F.lit(1)).alias("roots"), F.sum("k").alias("m"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"), F.sum("y").alias("y"), F.max(F.struct("k", "root")).alias("top"))
         groups = groups.where("roots > 1").groupBy("m", "x", "y").agg(F.min(F.struct("item", "s", "top")).alias("b"))
         groups = work.table(groups.select(F.col("b.item").alias("item"), F.col("b.top.root").alias("top"), _parts().alias("parts")), "groups")
-        own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        chunks = F.when((F.col("parts") > 1) & (F.col("root") != F.col("top")), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)
-        meet = held.join(groups, "item").select(F.col("item").alias("bucket"), "node", "root", F.explode(chunks).alias("c"))
-        dealt = dealt.unionAll(meet.select("bucket", (-1 - F.col("c")).cast("long").alias("chunk"), "node", "root"))  # no bucket's chunk is negative
+        meet = held.join(groups.where("parts = 1"), "item")
+        dealt = dealt.unionAll(meet.select(F.col("item").alias("bucket"), F.lit(-1).cast("long").alias("chunk"), "node", "root", nobody))
+        # Groups that a chunk can't hold and whose largest component is the same are one family, so that a pair meets
+        # there once, however many shingles it shares. Its cells are all pairs of a part of the outsiders and one of the members.
+        family = work.table(held.join(groups.where("parts > 1"), "item").select("top", "node", "root", "n").distinct(), "family")
+        outside = F.col("root") != F.col("top")
+        parts = family.groupBy("top").agg(_cells(F.lit(True)).alias("p"), _cells(outside).alias("q"))
+        grid = family.join(work.table(parts, "grid"), "top").withColumns({"i": F.pmod(F.xxhash64("node", F.lit(1)), F.col("q")), "j": F.pmod(F.xxhash64("node"), F.col("p"))})
+        as_member = F.transform(F.sequence(F.lit(0).cast("long"), F.col("q") - 1), lambda i: i * F.col("p") + F.col("j"))
+        as_asking = F.transform(F.sequence(F.lit(0).cast("long"), F.col("p") - 1), lambda j: F.col("i") * F.col("p") + j)
+        grid = grid.withColumn("c", F.explode(F.when(outside, F.array_union(as_member, as_asking)).otherwise(as_member)))
+        asks = outside & (F.floor(F.col("c") / F.col("p")) == F.col("i"))
+        dealt = dealt.unionAll(grid.select(F.xxhash64("top").alias("bucket"), (-2 - F.col("c")).alias("chunk"), "node", "root", asks.alias("ask")))
     more = work.table(_links_within(dealt.join(sets, "node"), percent), "links-2")
     final = components(links.unionAll(more), work, "roots-2")
-    for name in ("members", "sets", "links-1", "links-2", "open", "tally", "live", "hot", "held", "groups"):
+    for name in ("members", "sets", "links-1", "links-2", "open", "tally", "live", "hot", "held", "groups", "family", "grid"):
         work.drop(name)
     return _labelled(base, lead, final, work)
 
@@ -320,6 +334,12 @@ def _parts() -> F.Column:
     return F.greatest(F.ceil(F.col("m") / F.lit(CHUNK)), F.ceil(F.col("b.s") / F.lit(CHUNK_SHINGLES))).cast("int")
 
 
+def _cells(which: F.Column) -> F.Column:
+    """Parts of a family, or of those of it that are asked for, for cells of two parts."""
+    m, s = F.count_if(which), F.sum(F.when(which, F.col("n")).otherwise(0))
+    return F.greatest(F.ceil(m / F.lit(2 * CHUNK)), F.ceil(s / F.lit(CHUNK_SHINGLES // 2)), F.lit(1)).cast("long")
+
+
 def _labelled(base: DataFrame, lead: DataFrame, roots: DataFrame, work: Workspace) -> DataFrame:
     """Each row with the smallest doc_id of its component. Each join has a plain table on both sides, so that Spark can split it."""
     linked = work.table(lead.select("node", "lead").join(roots, "node").select("node", "lead", "root"), "linked")

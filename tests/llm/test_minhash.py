@@ -130,3 +130,47 @@ def test_unlinked_members_of_a_hot_bucket(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CHUNK", 4)
     monkeypatch.setattr(minhash, "FIRST", 1)
     assert result(minhash.near_duplicates(spark, frame(spark, rows), words=4, percent=80)) == components(rows, 4, 80)
+
+
+def test_work_on_a_large_group_of_near_copies(spark, monkeypatch):
+    """Near copies of one text, about half of them too different to be linked with it: a pair is compared a few times, not once for each shingle and chunk."""
+    rnd = rng(21)
+    base = prose(rnd, 100, 10**6)
+    rows = [(i, near_copy(rnd, base, 1 + 2 * (i % 2))) for i in range(160)]
+    monkeypatch.setattr(minhash, "CHUNK", 8)
+    within, asked = minhash._links_within, []
+
+    def count(groups, percent):
+        chunks = {}
+        for r in groups.collect():
+            chunks.setdefault((r["bucket"], r["chunk"]), []).append(r)
+        total = 0
+        for rs in chunks.values():
+            if rs[0].asDict().get("ask") is None:
+                roots = [r["root"] for r in rs]
+                total += (len(rs) - max(map(roots.count, roots))) * len(rs)
+            else:
+                total += sum(r["ask"] for r in rs) * len(rs)
+        asked.append(total)
+        return within(groups, percent)
+
+    monkeypatch.setattr(minhash, "_links_within", count)
+    assert result(minhash.near_duplicates(spark, frame(spark, rows), words=4, percent=80)) == components(rows, 4, 80)
+    assert len(asked) == 2 and 0 < asked[1] < 2 * len(rows) ** 2
+
+
+def test_forest_of_those_that_ask():
+    """Outsiders alone ask; shingles that few sets hold and those that many hold both count."""
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 2**60, 200).astype(np.uint64)
+    sets = [np.unique(np.where(rnd.random(200) < share, rnd.integers(0, 2**60, 200).astype(np.uint64), base)) for share in (0.02, 0.03, 0.05, 0.15, 0.16, 0.3)]
+    for _ in range(4):
+        own = rnd.integers(0, 2**60, 50).astype(np.uint64)
+        sets += [np.unique(own), np.unique(own[:45])]
+    sets += [rnd.integers(0, 2**60, 5).astype(np.uint64) for _ in range(20)]
+    sets = [np.unique(x) for x in sets]
+    pairs = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    asks = np.arange(len(sets)) % 2 == 1
+    found = minhash.forest(sets, np.arange(len(sets)), 80, asks)
+    assert set(found) <= pairs and all(asks[i] for i, _ in found)
+    assert {(6, 7), (8, 9), (10, 11), (12, 13)} <= {(min(p), max(p)) for p in found}
