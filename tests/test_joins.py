@@ -11,6 +11,7 @@ from sparklith.operators import joins as J
 from sparklith.operators import positional as Q
 from sparklith.operators import prefix as W
 from sparklith.operators.partitioning import with_bucket
+from sparklith.plans.catalog import QUERIES
 from sparklith.sources import column
 
 
@@ -45,6 +46,34 @@ def test_join_is_the_nested_loop(spark, hint):
         J.hash_join(left, right, [])
 
 
+@pytest.mark.parametrize("residual", [None, "v >= w"])
+def test_spread_join_is_the_nested_loop(spark, monkeypatch, residual):
+    """Keys of many rows, of one side's only, of few, and NULL; equal rows multiply, and two blocks of a key meet once."""
+    rnd = random.Random(5)
+    a = [(rnd.choice([None, "x", "x", "x", "y"]), rnd.choice([None, 1]), rnd.randrange(9)) for _ in range(150)] + [("z", 1, 4), ("only", 1, 4)]
+    b = [(rnd.choice([None, "x", "y", "y"]), rnd.choice([None, 1, 2]), rnd.randrange(9)) for _ in range(120)] + [("z", 1, 3), ("z", 1, 3)]
+    left, right = spark.createDataFrame(a, "s string, k int, v bigint"), spark.createDataFrame(b, "t string, k bigint, w bigint")
+    want = sorted((*x, *y) for x in a for y in b if x[0] == y[0] is not None and x[1] == y[1] is not None and (not residual or x[2] >= y[2]))
+    for few, block in ((1 << 22, 2048), (0, 2048), (0, 8), (0, 1)):
+        monkeypatch.setattr(J, "FEW", few), monkeypatch.setattr(J, "BLOCK", block)
+        out = J.spread_join(left, right, [("s", "t"), ("k", "k")], residual)
+        assert out.columns == ["s", "k", "v", "t", "k", "w"] and sorted(map(tuple, out.collect())) == want
+        assert J.spread_join(left.where("false"), right, [("s", "t")]).count() == 0
+    with pytest.raises(ValueError):
+        J.spread_join(left, right, [])
+
+
+def test_spread_join_deals_the_pairs_of_one_key(spark, tmp_path):
+    """4000 x 1500 rows of one key: no task makes half of the pairs. Also as the query of the catalogue has it."""
+    nation = F.lit(7).alias("c_nationkey"), F.lit(7).alias("s_nationkey")
+    spark.range(4000).select(F.col("id").alias("c_custkey"), nation[0]).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(1500).select(F.col("id").alias("s_suppkey"), nation[1]).write.parquet(str(tmp_path / "supplier.parquet"))
+    for name in ("join_null_keys",):
+        counts = [r["count"] for r in QUERIES[name](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(counts) == (4000 * 1500 if name != "join_residual_gt" else sum(min(c, 1500) for c in range(4000)))
+        assert max(counts) < sum(counts) / 2
+
+
 def test_residual_is_a_join_condition(spark):
     left, right = spark.range(100).withColumn("v", F.col("id")), spark.range(100).select(F.col("id").alias("k"), F.col("id").alias("w"))
     plan = J.hash_join(left, right, [("id", "k")], "v > w", "shuffle_hash")._jdf.queryExecution().executedPlan().toString()
