@@ -4,6 +4,9 @@ Rows are dealt by their order into ranges of about equally many rows, whatever t
 written once; so the ranges are the same wherever they are read. A row's number inside its range is known when it is
 written. Range totals are one small aggregate; their running sum, a window over the ranges alone, is added to what a row
 has inside its range. A table of one range needs none of this: it is one window, over CHUNK rows at most.
+
+Every range is a task, a file and a row of the totals, so a table has MOST_RANGES of them at most; where ranges of the
+size asked for would be more, they are larger, but not beyond CHUNK rows: a table of more than that has more ranges.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from pyspark.sql import functions as F
 
 from sparklith.sources.shared import Workspace
 
-#: Rows of a range, about; ranges whose totals are broadcast (16 bytes each).
-CHUNK, MOST_BROADCAST = 1 << 20, 1 << 20
+#: Rows of a range, about; ranges of a table whose ranges have fewer rows; ranges whose totals are broadcast (16 bytes each).
+CHUNK, MOST_RANGES, MOST_BROADCAST = 1 << 20, 256, 1 << 20
 
 
 def _keys(order: list[str]) -> list[Column]:
@@ -30,7 +33,8 @@ def _ranges(df: DataFrame, order: list[str], chunk: int) -> tuple[DataFrame, int
     """
     if chunk < 1 or chunk & (chunk - 1):
         raise ValueError("a chunk's size is a power of two")
-    parts = max(1, -(-df.count() // chunk))
+    n = df.count()
+    parts = max(1, min(-(-n // chunk), max(MOST_RANGES, -(-n // CHUNK))))
     if parts == 1:
         return df, 1
     keys = _keys(order)

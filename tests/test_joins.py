@@ -153,6 +153,19 @@ def test_ranges_are_even(spark):
     assert parts == 20 and len(counts) == 20 and max(counts) < 3 * min(counts)
 
 
+def test_number_of_ranges_is_bounded(spark):
+    """Small ranges of a large table would be a task and a file each: no more than MOST_RANGES, and every row is there."""
+    df = spark.range(40_000).select("id", F.when(F.col("id") % 3 == 1, F.col("id")).alias("v"))
+    rows, parts = W._ranges(df, ["id"], 32)
+    assert parts == W.MOST_RANGES and rows.select("_chunk").distinct().count() <= W.MOST_RANGES and rows.count() == 40_000
+    want, total = {}, None
+    for i in range(40_000):
+        total = (total or 1) + i if i % 3 == 1 else total
+        want[i] = total
+    assert {r["id"]: r["prefix"] for r in W.prefix_sum_parallel(df, "v", "id", 1, chunk=32).collect()} == want
+    assert W._ranges(df.limit(1000), ["id"], 32)[1] == 32
+
+
 def test_bucketed_join_has_no_other_exchange(spark):
     left, right = spark.range(1000).withColumn("v", F.col("id")), spark.range(1000).select(F.col("id").alias("k"), F.col("id").alias("w"))
     plan = J.bucketed_join(left, right, [("id", "k")], 4)._jdf.queryExecution().executedPlan().toString()
