@@ -84,17 +84,25 @@ def position_within(df: DataFrame, by: list[str], order: str | list[str], name:
     return out.drop("_at", "_first", *(f"_key{i}" for i in range(len(by))))
 
 
-def prefix_sum(df: DataFrame, value: str, order: str, start: int = 0, name: str = "prefix", by: list[str] | None = None) -> DataFrame:
-    """Inclusive running sum plus ``start`` by one window: for partitions that fit a task, or small tables. NULL up to the first value."""
-    w = Window.partitionBy(*(by or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _one_window(df: DataFrame, value: str, order: str, start: int, name: str, by: list[str]) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn(name, F.sum(value).over(w) + F.lit(start))
 
 
+def prefix_sum(df: DataFrame, value: str, order: str, start: int = 0, name: str = "prefix", by: list[str] | None = None) -> DataFrame:
+    """Inclusive running sum plus ``start``. NULL up to the first value.
+
+    With ``by`` it is one window, for partitions that fit a task; without, a table of more than CHUNK rows is summed in
+    two phases. ``order``: unique.
+    """
+    return _one_window(df, value, order, start, name, by) if by else prefix_sum_parallel(df, value, order, start, name, CHUNK)
+
+
 def prefix_sum_parallel(df: DataFrame, value: str, order: str, start: int = 0, name: str = "prefix", chunk: int = CHUNK) -> DataFrame:
     """The same in two phases, for tables of any size, NULLs included. ``order``: unique. Empty in, empty out."""
     rows, parts = _ranges(df, [order], chunk)
     if parts == 1:
-        return prefix_sum(df, value, order, start, name)
+        return _one_window(df, value, order, start, name, [])
     inside = F.sum(value).over(Window.partitionBy("_chunk").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     joined = _with_before(rows, parts, F.sum(value)).withColumn("_inside", inside)
     total = F.coalesce(F.col("_inside") + F.col("_before"), F.col("_inside"), F.col("_before"))

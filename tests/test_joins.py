@@ -166,6 +166,14 @@ def test_number_of_ranges_is_bounded(spark):
     assert W._ranges(df.limit(1000), ["id"], 32)[1] == 32
 
 
+def test_prefix_sum_of_a_large_table_is_not_one_window(spark, monkeypatch):
+    monkeypatch.setattr(W, "CHUNK", 256)
+    df = spark.range(3000).select("id", F.when(F.col("id") > 400, F.col("id") % 7).alias("v"))
+    out = W.prefix_sum(df, "v", "id", 1)
+    assert {r["id"]: r["prefix"] for r in out.collect()} == {i: 1 + sum(x % 7 for x in range(401, i + 1)) if i > 400 else None for i in range(3000)}
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_bucketed_join_has_no_other_exchange(spark):
     left, right = spark.range(1000).withColumn("v", F.col("id")), spark.range(1000).select(F.col("id").alias("k"), F.col("id").alias("w"))
     plan = J.bucketed_join(left, right, [("id", "k")], 4)._jdf.queryExecution().executedPlan().toString()
